@@ -9,9 +9,14 @@ entered again.  A sequence in which all neighbours are compatible is the one
 that the merge rules give, so the result is exact, in time linear in the piece.
 Decoding looks ids up in one table of bytes through an array of offsets.
 
+The automaton finds matches piece by piece (`Codec.encode_piece`).  For the many
+short pieces of a batch, `Codec.encode_many` does the same for all of them at
+once in numpy: the automaton's goto function is followed from every position
+together, and all pieces take their next step of the search together.
+
 Scale: one narrow Arrow pass over the texts, no shuffle; the vocabulary (50,000
 entries) travels with the function, so executors need no file.  A worker keeps
-the ids of frequent pieces, up to a bound, which changes speed only.
+the ids of frequent stretches, up to a bound, which changes speed only.
 """
 
 from __future__ import annotations
@@ -34,8 +39,15 @@ PIECES = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}
 #: White space and the run after it.  A piece never goes on over white space that
 #: follows something else, so such a stretch is cut into pieces on its own.
 STRETCH = re.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+BLANKS = frozenset(" \n" + "\t\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 #: Stretches that a generation of a worker's memory holds (some 90 MB), and the longest.
 REMEMBERED, LONGEST = 400_000, 64
+#: Pairs of tokens whose compatibility is kept in an array: two to this power.
+PAIR_BITS = 21
+#: Code points of text that are encoded at once.
+AT_ONCE = 2_000_000
+#: White space other than the blank and the line feed (fixed values).
+OTHER_SPACE = "\t\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def byte_letters() -> dict[int, str]:
@@ -46,7 +58,7 @@ def byte_letters() -> dict[int, str]:
     return letters | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Memory:
+class Memory(dict):
     """The ids of stretches seen lately, in two generations of bounded size.
 
     What a full new generation pushes out was not asked for during a whole
@@ -54,14 +66,11 @@ class Memory:
     """
 
     def __init__(self, most: int = REMEMBERED, longest: int = LONGEST):
-        self.most, self.longest = most, longest
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.most, self.longest, self.old = most, longest, {}
 
     def find(self, keys: list[str]) -> list[bytes | None]:
-        get = self.new.get
-        found = [get(k) for k in keys]
-        if None in found and self.old:
+        found = list(map(self.get, keys))
+        if self.old and None in found:
             old = self.old.get
             for i, value in enumerate(found):
                 if value is None and (value := old(keys[i])) is not None:
@@ -71,9 +80,73 @@ class Memory:
 
     def put(self, key: str, value: bytes) -> None:
         if len(key) <= self.longest:
-            if len(self.new) >= self.most:
-                self.old, self.new = self.new, {}
-            self.new[key] = value
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+
+
+class Goto:
+    """The goto function of an automaton over tokens, as an open hash table in numpy."""
+
+    def __init__(self, tokens: dict[int, bytes]):
+        step: dict[int, int] = {}
+        ends = [-1]
+        for i, token in tokens.items():
+            at = 0
+            for b in token:
+                at = step.setdefault(at << 8 | b, len(ends))
+                if at == len(ends):
+                    ends.append(-1)
+            ends[at] = i
+        self.ends = np.array(ends, np.int32)
+        self.bits = max(4, (len(step) * 4).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.to = np.zeros(1 << self.bits, np.int32)
+        left = np.fromiter(step, np.int64, len(step))
+        to = np.fromiter(step.values(), np.int32, len(step))
+        slot = self.slot(left)
+        while len(left):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = left[free]  # of several for one slot the last stays
+            placed = self.keys[slot] == left
+            self.to[slot[placed]] = to[placed]
+            left, to, slot = left[~placed], to[~placed], (slot[~placed] + 1) & ((1 << self.bits) - 1)
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def follow(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The nodes after ``byte``, -1 where there is none."""
+        key = node << 8 | byte
+        slot = self.slot(key)
+        seen = self.keys[slot]
+        out = np.where(seen == key, self.to[slot], -1)
+        open_ = np.flatnonzero((seen != key) & (seen >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            at = slot[open_]
+            seen = self.keys[at]
+            hit = seen == key[open_]
+            out[open_[hit]] = self.to[at[hit]]
+            open_ = open_[~hit & (seen >= 0)]
+        return out
+
+    def longest(self, text: np.ndarray, until: np.ndarray) -> np.ndarray:
+        """The longest token from every position of ``text`` that ends by ``until`` there."""
+        best = np.full(len(text), -1, np.int32)
+        at, node, depth = np.arange(len(text)), np.zeros(len(text), np.int64), 0
+        while len(at):
+            node = self.follow(node, text[at + depth].astype(np.int64))
+            ok = node >= 0
+            at, node = at[ok], node[ok].astype(np.int64)
+            end = self.ends[node]
+            hit = end >= 0
+            best[at[hit]] = end[hit]
+            depth += 1
+            on = at + depth < until[at]
+            at, node = at[on], node[on]
+        return best
 
 
 class Codec:
@@ -107,14 +180,20 @@ class Codec:
                 self.automaton.add_word(b.decode("latin-1"), i)
                 self.size[i] = len(b)
         self.automaton.make_automaton()
+        self.widest = max(self.size.values())
+        self.goto = Goto({i: self.bytes_of[i] for i in self.size})
         self.shorter = {i: self._shorter(self.bytes_of[i]) for i in self.size}
         self._left: dict[int, list] = {}
         self._right: dict[int, list] = {}
         self._fits: dict[tuple[int, int], bool] = {}
+        self.pair_key = np.full(1 << PAIR_BITS, -1, np.int64)
+        self.pair_fits = np.zeros(1 << PAIR_BITS, bool)
         self.pieces = regex.compile(PIECES)
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.memory = Memory()
+        self.memory, self.first = Memory(), Memory(REMEMBERED // 8)
         n = max(self.bytes_of) + 1
+        self.sizes = np.array([self.size.get(i, 0) for i in range(n)], np.int64)
+        self.shorters = np.array([self.shorter.get(i, -1) for i in range(n)], np.int32)
         self.lengths = np.array([len(self.bytes_of.get(i, b"")) for i in range(n)], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
         self.table = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(n)), np.uint8)
@@ -199,7 +278,7 @@ class Codec:
                 at = end
                 if at == n:
                     return out
-                token = next(longest(text, at))[1]
+                token = next(longest(text[at : at + self.widest]))[1]
             elif shorter[token] >= 0:
                 token = shorter[token]
             else:
@@ -213,23 +292,148 @@ class Codec:
             ids.extend(self.encode_piece(piece.encode()))
         return ids.tobytes()
 
+    def pairs_fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """`fits` for arrays of tokens; what the array of known pairs lacks is worked out once."""
+        key = a.astype(np.int64) << 32 | b
+        slot = ((key * 0x9E3779B1 ^ key >> 32) & 0x7FFFFFFFFFFFFFFF) % (1 << PAIR_BITS)
+        out = self.pair_fits[slot]
+        new = np.flatnonzero(self.pair_key[slot] != key)
+        if len(new):
+            keys, first, back = np.unique(key[new], return_index=True, return_inverse=True)
+            found = np.array([self.fits(int(k) >> 32, int(k) & 0xFFFFFFFF) for k in keys], bool)
+            out[new] = found[back]
+            at = slot[new][first]
+            self.pair_key[at], self.pair_fits[at] = keys, found
+            # Of several new pairs for one slot the last key stays, and its value must.
+            kept = self.pair_key[at] == keys
+            self.pair_fits[at[kept]] = found[kept]
+        return out
+
+    def encode_many(self, stretches: list[str]) -> list[bytes]:
+        """The ids of stretches that begin with white space and end with something else.
+
+        Joined, they are cut into the same pieces as each for itself.
+        """
+        joined = "".join(stretches)
+        pieces = self.pieces.findall(joined)
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        text = np.frombuffer(joined.encode(), np.uint8)
+        points = np.append(np.flatnonzero(text & 0xC0 != 0x80), len(text))
+        stop = points[ends]
+        start = np.append(0, stop[:-1])
+        out, count = self._search(text, start, stop)
+        used = np.zeros(len(text) + 1, np.int32)
+        np.add.at(used, start, 1)
+        np.add.at(used, start + count, -1)
+        ids = out[np.cumsum(used)[:-1] > 0].astype(np.uint32).tobytes()
+        last = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, stretches), np.int64, len(stretches))))
+        cuts = (np.cumsum(count)[last] * 4).tolist()
+        return [ids[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def _search(self, text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of each piece from its start on in an array as long as ``text``; how many."""
+        longest = self.goto.longest(text, np.repeat(stop, stop - start))
+        out = np.zeros(len(text), np.int32)
+        dead = np.zeros(len(text) + 1, bool)
+        count = np.zeros(len(start), np.int64)
+        live = np.arange(len(start))  # pieces in search; the arrays below go with them
+        at, token, top = start.copy(), longest[start], start.copy()
+        lo, hi = start, stop
+        while len(live) > 256:
+            end = at + self.sizes[token]
+            inner = top > lo
+            ok = ~(dead[end] & (end < hi))
+            check = np.flatnonzero(ok & inner)
+            ok[check] = self.pairs_fit(out[top[check] - 1], token[check])
+            out[top[ok]] = token[ok]
+            top = top + ok
+            at = np.where(ok, end, at)
+            less = np.where(ok, -1, self.shorters[token])
+            back = ~ok & (less < 0)
+            dead[at[back]] = True
+            top = top - back
+            over = ok & (at == hi)
+            ahead = ok & ~over
+            token = np.where(ok | back, token, less)
+            token[ahead] = longest[at[ahead]]
+            token[back] = out[top[back]]
+            at[back] -= self.sizes[token[back]]
+            if over.any():
+                count[live[over]] = (top - lo)[over]
+                on = ~over
+                live, at, token, top, lo, hi = live[on], at[on], token[on], top[on], lo[on], hi[on]
+        for i in live.tolist():  # the last few are quicker one by one
+            ids = self.encode_piece(text[start[i] : stop[i]].tobytes())
+            out[start[i] : start[i] + len(ids)] = ids
+            count[i] = len(ids)
+        return out, count
+
+    def keys(self, text: str) -> tuple[str, list[str]]:
+        """``text`` as its beginning and stretches, each without its leading blank.
+
+        The quick way cuts at blanks and line feeds, which is right if each of
+        them stands between two characters that aren't white space.  Stretches
+        that begin with white space other than one blank keep it.
+        """
+        plain = not (
+            "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1].isspace() or text[-1:].isspace()
+            or any(c in text for c in OTHER_SPACE)
+        )
+        if plain:
+            first, *rest = text.replace("\n", " \n").split(" ")
+            return first, rest
+        found = STRETCH.findall(text)
+        first = found.pop(0) if found and found[0][0] not in BLANKS else ""
+        return first, [s[1:] if s[0] == " " and s[1:] and s[1] not in BLANKS else s for s in found]
+
+    def _many_bytes(self, texts: list[str]) -> list[bytes]:
+        whole, new = [], {}
+        for text in texts:
+            first, keys = self.keys(text)
+            ids = self.memory.find(keys)
+            if None in ids:
+                new.update((k, None) for k, v in zip(keys, ids) if v is None)
+            whole.append((first, keys, ids))
+        # A key that begins with white space stands for itself, others for a blank and themselves.
+        full = {k: k if k[0] in BLANKS else f" {k}" for k in new}
+        many = [k for k, s in full.items() if s[-1] not in BLANKS]
+        new.update(zip(many, self.encode_many([full[k] for k in many])) if many else ())
+        for k, s in full.items():
+            if new[k] is None:
+                new[k] = self.encode_stretch(s)
+        out = []
+        for first, keys, ids in whole:
+            if None in ids:
+                ids = [new[k] if v is None else v for k, v in zip(keys, ids)]
+            if first:
+                (head,) = self.first.find([first])
+                if head is None:
+                    head = self.encode_stretch(first)
+                    self.first.put(first, head)
+                ids.insert(0, head)
+            out.append(b"".join(ids))
+        for k, v in new.items():
+            self.memory.put(k, v)
+        return out
+
+    def encode_texts(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text as 32-bit integers, one after the other."""
+        parts, size = [], 0
+        for i, text in enumerate(texts):
+            text = text or ""
+            cut = self.split.split(text) if self.split is not None and any(t in text for t in self.added) else [text]
+            parts += [(i, k % 2, p) for k, p in enumerate(cut)]
+            size += len(text)
+            if size >= AT_ONCE or i + 1 == len(texts):
+                plain = iter(self._many_bytes([p for _, special, p in parts if not special]))
+                ids: dict[int, list[bytes]] = {}
+                for j, special, p in parts:
+                    ids.setdefault(j, []).append(array("I", [self.added[p]]).tobytes() if special else next(plain))
+                yield from map(b"".join, ids.values())
+                parts, size = [], 0
+
     def encode_bytes(self, text: str) -> bytes:
-        """The ids of ``text`` as 32-bit integers, one after the other."""
-        if self.split is not None and any(t in text for t in self.added):
-            parts = self.split.split(text)
-            return b"".join(array("I", [self.added[p]]).tobytes() if i % 2 else self._encode(p) for i, p in enumerate(parts))
-        return self._encode(text)
-
-    def _encode(self, text: str) -> bytes:
-        stretches = STRETCH.findall(text)
-        out = self.memory.find(stretches)
-        if None in out:
-            put = self.memory.put
-            for i, ids in enumerate(out):
-                if ids is None:
-                    out[i] = ids = self.encode_stretch(stretches[i])
-                    put(stretches[i], ids)
-        return b"".join(out)
+        return next(self.encode_texts([text]))
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text or ""), np.uint32)
@@ -292,7 +496,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = codec(source)
         for texts in batches:
-            yield pd.Series([own.encode(t).astype(np.int32) for t in texts])
+            yield pd.Series([np.frombuffer(b, np.int32) for b in own.encode_texts(texts.tolist())])
 
     return docs.select(F.col(id_col), ids(F.coalesce(F.col(text_col), F.lit(""))).alias("ids"))
 
@@ -323,8 +527,8 @@ def round_trip_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         own = codec(source)
         for texts in batches:
             rows = []
-            for t in texts:
-                ids = own.encode(t)
+            for got in own.encode_texts(texts.tolist()):
+                ids = np.frombuffer(got, np.uint32)
                 said = hashlib.sha256(own.written(ids)).hexdigest()
                 rows.append((len(ids), said, hashlib.sha256(own.decode_bytes(ids)).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])

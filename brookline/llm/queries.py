@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing
+from . import bpe, exact_dedup, mixing
 from .common import table
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.exact_groups(docs, digest="text_sha256")
@@ -58,7 +62,7 @@ from y, b group by doc_id, s, k, size, total, target
 
 
 def queries() -> dict:
-    return {"op5_exact_dedup": op5_exact_dedup, "op6_mix": op6_mix}
+    return {"op4_bpe": op4_bpe, "op5_exact_dedup": op5_exact_dedup, "op6_mix": op6_mix}
 
 
 def oracle_sql() -> dict[str, str]:
