@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing
+from . import bpe, exact_dedup, mixing, simhash
 from .common import table
 
 
@@ -61,8 +61,13 @@ from y, b group by doc_id, s, k, size, total, target
 """
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
-    return {"op4_bpe": op4_bpe, "op5_exact_dedup": op5_exact_dedup, "op6_mix": op6_mix}
+    return {"op4_bpe": op4_bpe, "op5_exact_dedup": op5_exact_dedup, "op6_mix": op6_mix, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
