@@ -29,9 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 #: Code points with the property White_Space (fixed values).
 SPACE = "\t-\r \x85\xa0  -     　"
 #: The public byte-level pre-tokenizer's pattern.
@@ -490,6 +492,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     One row per row of ``docs``, repeats and null ids included, in no order.
     """
+    ship(docs.sparkSession)
     source = vocabulary(path)
 
     @F.pandas_udf("array<int>")
@@ -503,6 +506,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """``(id, text)`` of every row of ids; null ids give an empty text."""
+    ship(encoded.sparkSession)
     source = vocabulary(path)
 
     @F.pandas_udf("string")
@@ -520,6 +524,7 @@ def round_trip_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Encodes, decodes the ids again and hashes both where they arise, so that ids
     never leave the worker.  Nulls and repeats as in `encode`.
     """
+    ship(docs.sparkSession)
     source = vocabulary(path)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_side, written
+from .common import cut, ship, small_side, written
 from .components import components
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -77,6 +77,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for rows in batches:
             yield pd.Series([majority(np.asarray(r, np.int64)) for r in rows], dtype="int64")
 
+    ship(docs.sparkSession)
     found, hashes = shingle_hashes(F.col("_bl_t"), words)
     rows = docs.select(F.col(id_col).alias("_bl_id"), F.col(text_col).alias("_bl_t"))
     rows = rows.select("_bl_id", found.alias("_bl_w")).select("_bl_id", hashes.alias("_bl_h"))
@@ -202,6 +203,7 @@ def links(values: DataFrame, column: str, budget: int = BUDGET, per_task: int =
     are those of all links.
     """
     spark = values.sparkSession
+    ship(spark)
     blocks = budget + 1
     cuts = [64 * k // blocks for k in range(blocks + 1)]
     value = F.col(column)
