@@ -151,7 +151,128 @@ class Goto:
         return best
 
 
-class Codec:
+class Stretches:
+    """Encodes texts by their stretches: each new one once, frequent ones from memory.
+
+    Subclasses have ``added`` (ids of special tokens by content) and encode
+    stretches in `encode_many` and `encode_stretch`.
+    """
+
+    def __init__(self, added: dict[str, int]):
+        self.added = added
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        self.memory, self.first = Memory(), Memory(REMEMBERED // 8)
+
+    def encode_many(self, stretches: list[str]) -> list[bytes]:
+        raise NotImplementedError
+
+    def encode_stretch(self, stretch: str) -> bytes:
+        raise NotImplementedError
+
+    def keys(self, text: str) -> tuple[str, list[str]]:
+        """``text`` as its beginning and stretches, each without its leading blank.
+
+        The quick way cuts at blanks and line feeds, which is right if each of
+        them stands between two characters that aren't white space.  Stretches
+        that begin with white space other than one blank keep it.
+        """
+        plain = not (
+            "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1].isspace() or text[-1:].isspace()
+            or any(c in text for c in OTHER_SPACE)
+        )
+        if plain:
+            first, *rest = text.replace("\n", " \n").split(" ")
+            return first, rest
+        found = STRETCH.findall(text)
+        first = found.pop(0) if found and found[0][0] not in BLANKS else ""
+        return first, [s[1:] if s[0] == " " and s[1:] and s[1] not in BLANKS else s for s in found]
+
+    def _many_bytes(self, texts: list[str]) -> list[bytes]:
+        whole, new = [], {}
+        for text in texts:
+            first, keys = self.keys(text)
+            ids = self.memory.find(keys)
+            if None in ids:
+                new.update((k, None) for k, v in zip(keys, ids) if v is None)
+            whole.append((first, keys, ids))
+        # A key that begins with white space stands for itself, others for a blank and themselves.
+        full = {k: k if k[0] in BLANKS else f" {k}" for k in new}
+        many = [k for k, s in full.items() if s[-1] not in BLANKS]
+        new.update(zip(many, self.encode_many([full[k] for k in many])) if many else ())
+        for k, s in full.items():
+            if new[k] is None:
+                new[k] = self.encode_stretch(s)
+        out = []
+        for first, keys, ids in whole:
+            if None in ids:
+                ids = [new[k] if v is None else v for k, v in zip(keys, ids)]
+            if first:
+                (head,) = self.first.find([first])
+                if head is None:
+                    head = self.encode_stretch(first)
+                    self.first.put(first, head)
+                ids.insert(0, head)
+            out.append(b"".join(ids))
+        for k, v in new.items():
+            self.memory.put(k, v)
+        return out
+
+    def encode_texts(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text as 32-bit integers, one after the other."""
+        parts, size = [], 0
+        for i, text in enumerate(texts):
+            text = text or ""
+            cut = self.split.split(text) if self.split is not None and any(t in text for t in self.added) else [text]
+            parts += [(i, k % 2, p) for k, p in enumerate(cut)]
+            size += len(text)
+            if size >= AT_ONCE or i + 1 == len(texts):
+                plain = iter(self._many_bytes([p for _, special, p in parts if not special]))
+                ids: dict[int, list[bytes]] = {}
+                for j, special, p in parts:
+                    ids.setdefault(j, []).append(array("I", [self.added[p]]).tobytes() if special else next(plain))
+                yield from map(b"".join, ids.values())
+                parts, size = [], 0
+
+    def encode_bytes(self, text: str) -> bytes:
+        return next(self.encode_texts([text]))
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(self.encode_bytes(text or ""), np.uint32)
+
+
+class Library(Stretches):
+    """The same ids by the tokenizers library, which encodes what memory lacks."""
+
+    def __init__(self, source: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(source)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        spec = json.loads(source)
+        super().__init__({t["content"]: t["id"] for t in spec.get("added_tokens", [])})
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.lengths[i] = len(token)  # one letter for each byte
+
+    def encode_stretch(self, stretch: str) -> bytes:
+        return array("I", self.tokenizer.encode(stretch, add_special_tokens=False).ids).tobytes()
+
+    def encode_many(self, stretches: list[str]) -> list[bytes]:
+        """As `Codec.encode_many`: joined, stretches give the same tokens as each for itself."""
+        groups = [stretches[k : k + 500] for k in range(0, len(stretches), 500)]
+        out = []
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, np.uint32)
+            size = np.fromiter((len(s) if s.isascii() else len(s.encode()) for s in group), np.int64, len(group))
+            cuts = (np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(size)) + 1) * 4
+            raw, cuts = ids.tobytes(), cuts.tolist()
+            out += [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+        return out
+
+
+class Codec(Stretches):
     """Encoder and decoder for a byte-level BPE vocabulary in JSON."""
 
     def __init__(self, source: str):
@@ -164,7 +285,7 @@ class Codec:
         raw = lambda token: bytes(of[c] for c in token)
         self.id_of = {raw(t): i for t, i in model["vocab"].items() if all(c in of for c in t)}
         self.bytes_of = {i: b for b, i in self.id_of.items()}
-        self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        super().__init__({t["content"]: t["id"] for t in spec.get("added_tokens", [])})
         self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
         # For each token that merges make: its rank and its two parts.
         self.rank: dict[tuple[int, int], int] = {}
@@ -191,8 +312,6 @@ class Codec:
         self.pair_key = np.full(1 << PAIR_BITS, -1, np.int64)
         self.pair_fits = np.zeros(1 << PAIR_BITS, bool)
         self.pieces = regex.compile(PIECES)
-        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.memory, self.first = Memory(), Memory(REMEMBERED // 8)
         n = max(self.bytes_of) + 1
         self.sizes = np.array([self.size.get(i, 0) for i in range(n)], np.int64)
         self.shorters = np.array([self.shorter.get(i, -1) for i in range(n)], np.int32)
@@ -370,76 +489,6 @@ class Codec:
             count[i] = len(ids)
         return out, count
 
-    def keys(self, text: str) -> tuple[str, list[str]]:
-        """``text`` as its beginning and stretches, each without its leading blank.
-
-        The quick way cuts at blanks and line feeds, which is right if each of
-        them stands between two characters that aren't white space.  Stretches
-        that begin with white space other than one blank keep it.
-        """
-        plain = not (
-            "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1].isspace() or text[-1:].isspace()
-            or any(c in text for c in OTHER_SPACE)
-        )
-        if plain:
-            first, *rest = text.replace("\n", " \n").split(" ")
-            return first, rest
-        found = STRETCH.findall(text)
-        first = found.pop(0) if found and found[0][0] not in BLANKS else ""
-        return first, [s[1:] if s[0] == " " and s[1:] and s[1] not in BLANKS else s for s in found]
-
-    def _many_bytes(self, texts: list[str]) -> list[bytes]:
-        whole, new = [], {}
-        for text in texts:
-            first, keys = self.keys(text)
-            ids = self.memory.find(keys)
-            if None in ids:
-                new.update((k, None) for k, v in zip(keys, ids) if v is None)
-            whole.append((first, keys, ids))
-        # A key that begins with white space stands for itself, others for a blank and themselves.
-        full = {k: k if k[0] in BLANKS else f" {k}" for k in new}
-        many = [k for k, s in full.items() if s[-1] not in BLANKS]
-        new.update(zip(many, self.encode_many([full[k] for k in many])) if many else ())
-        for k, s in full.items():
-            if new[k] is None:
-                new[k] = self.encode_stretch(s)
-        out = []
-        for first, keys, ids in whole:
-            if None in ids:
-                ids = [new[k] if v is None else v for k, v in zip(keys, ids)]
-            if first:
-                (head,) = self.first.find([first])
-                if head is None:
-                    head = self.encode_stretch(first)
-                    self.first.put(first, head)
-                ids.insert(0, head)
-            out.append(b"".join(ids))
-        for k, v in new.items():
-            self.memory.put(k, v)
-        return out
-
-    def encode_texts(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as 32-bit integers, one after the other."""
-        parts, size = [], 0
-        for i, text in enumerate(texts):
-            text = text or ""
-            cut = self.split.split(text) if self.split is not None and any(t in text for t in self.added) else [text]
-            parts += [(i, k % 2, p) for k, p in enumerate(cut)]
-            size += len(text)
-            if size >= AT_ONCE or i + 1 == len(texts):
-                plain = iter(self._many_bytes([p for _, special, p in parts if not special]))
-                ids: dict[int, list[bytes]] = {}
-                for j, special, p in parts:
-                    ids.setdefault(j, []).append(array("I", [self.added[p]]).tobytes() if special else next(plain))
-                yield from map(b"".join, ids.values())
-                parts, size = [], 0
-
-    def encode_bytes(self, text: str) -> bytes:
-        return next(self.encode_texts([text]))
-
-    def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(self.encode_bytes(text or ""), np.uint32)
-
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """The bytes of ``ids``; an id outside the vocabulary has none."""
         return gather(self.table, self.offsets, self.lengths, ids)
@@ -466,14 +515,14 @@ def gather(table: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, ids: np.
     return b"".join(out)
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[tuple[type, str], Stretches] = {}
 
 
-def codec(source: str) -> Codec:
+def codec(source: str, kind: type[Stretches] = Codec) -> Stretches:
     """The codec of a vocabulary's JSON, made once per worker."""
-    key = hashlib.sha256(source.encode()).hexdigest()
+    key = kind, hashlib.sha256(source.encode()).hexdigest()
     if key not in _codecs:
-        _codecs[key] = Codec(source)
+        _codecs[key] = kind(source)
     return _codecs[key]
 
 

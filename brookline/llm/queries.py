@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, simhash
+from . import bpe, exact_dedup, mixing, simhash, token_files
 from .common import table
 
 
@@ -66,8 +66,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), end_id=2)
+
+
 def queries() -> dict:
-    return {"op4_bpe": op4_bpe, "op5_exact_dedup": op5_exact_dedup, "op6_mix": op6_mix, "op9_simhash": op9_simhash}
+    return {"op4_bpe": op4_bpe, "op5_exact_dedup": op5_exact_dedup, "op6_mix": op6_mix, "op9_simhash": op9_simhash, "op10_token_files": op10_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
