@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, simhash, token_files
+from . import bpe, exact_dedup, langid, mixing, simhash, token_files, toxicity
 from .common import table
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.predict(docs, langid.train(docs))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -61,6 +66,11 @@ from y, b group by doc_id, s, k, size, total, target
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
@@ -71,7 +81,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_bpe": op4_bpe, "op5_exact_dedup": op5_exact_dedup, "op6_mix": op6_mix, "op9_simhash": op9_simhash, "op10_token_files": op10_token_files}
+    """The queries by name, ``op<number>_<name>``."""
+    own = [op2_langid, op4_bpe, op5_exact_dedup, op6_mix, op7_toxicity, op9_simhash, op10_token_files]
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
