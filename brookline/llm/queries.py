@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, mixing, simhash, token_files, toxicity
+from . import bpe, exact_dedup, langid, mixing, simhash, spotsigs, token_files, toxicity
 from .common import table
 
 
+def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edit_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return langid.predict(docs, langid.train(docs))
@@ -82,7 +86,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """The queries by name, ``op<number>_<name>``."""
-    own = [op2_langid, op4_bpe, op5_exact_dedup, op6_mix, op7_toxicity, op9_simhash, op10_token_files]
+    own = [op1_spotsigs, op2_langid, op4_bpe, op5_exact_dedup, op6_mix, op7_toxicity, op9_simhash, op10_token_files]
     return {f.__name__: f for f in own}
 
 
