@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, mixing, simhash, spotsigs, token_files, toxicity
+from . import bpe, exact_dedup, langid, mixing, pii, simhash, spotsigs, token_files, toxicity
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -86,7 +90,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """The queries by name, ``op<number>_<name>``."""
-    own = [op1_spotsigs, op2_langid, op4_bpe, op5_exact_dedup, op6_mix, op7_toxicity, op9_simhash, op10_token_files]
+    own = [op1_spotsigs, op2_langid, op3_pii, op4_bpe, op5_exact_dedup, op6_mix, op7_toxicity, op9_simhash, op10_token_files]
     return {f.__name__: f for f in own}
 
 
