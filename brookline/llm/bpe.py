@@ -47,7 +47,7 @@ REMEMBERED, LONGEST = 400_000, 64
 #: Pairs of tokens whose compatibility is kept in an array: two to this power.
 PAIR_BITS = 21
 #: Code points of text that are encoded at once.
-AT_ONCE = 2_000_000
+AT_ONCE = 4_000_000
 #: White space other than the blank and the line feed (fixed values).
 OTHER_SPACE = "\t\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -70,15 +70,19 @@ class Memory(dict):
     def __init__(self, most: int = REMEMBERED, longest: int = LONGEST):
         self.most, self.longest, self.old = most, longest, {}
 
-    def find(self, keys: list[str]) -> list[bytes | None]:
-        found = list(map(self.get, keys))
-        if self.old and None in found:
-            old = self.old.get
-            for i, value in enumerate(found):
-                if value is None and (value := old(keys[i])) is not None:
-                    found[i] = value
-                    self.put(keys[i], value)
-        return found
+    def fill(self, wanted: dict[str, bytes | None]) -> list[str]:
+        """Gives ``wanted`` the values of its keys; returns the keys that aren't known."""
+        get, old, lacking = self.get, self.old.get, []
+        for key in wanted:
+            value = get(key)
+            if value is None:
+                value = old(key)
+                if value is None:
+                    lacking.append(key)
+                    continue
+                self.put(key, value)
+            wanted[key] = value
+        return lacking
 
     def put(self, key: str, value: bytes) -> None:
         if len(key) <= self.longest:
@@ -188,33 +192,31 @@ class Stretches:
         return first, [s[1:] if s[0] == " " and s[1:] and s[1] not in BLANKS else s for s in found]
 
     def _many_bytes(self, texts: list[str]) -> list[bytes]:
-        whole, new = [], {}
-        for text in texts:
-            first, keys = self.keys(text)
-            ids = self.memory.find(keys)
-            if None in ids:
-                new.update((k, None) for k, v in zip(keys, ids) if v is None)
-            whole.append((first, keys, ids))
+        whole = [self.keys(text) for text in texts]
+        ids: dict[str, bytes | None] = {}
+        for _, keys in whole:
+            ids.update(dict.fromkeys(keys))
+        lacking = self.memory.fill(ids)
         # A key that begins with white space stands for itself, others for a blank and themselves.
-        full = {k: k if k[0] in BLANKS else f" {k}" for k in new}
-        many = [k for k, s in full.items() if s[-1] not in BLANKS]
-        new.update(zip(many, self.encode_many([full[k] for k in many])) if many else ())
-        for k, s in full.items():
-            if new[k] is None:
-                new[k] = self.encode_stretch(s)
-        out = []
-        for first, keys, ids in whole:
-            if None in ids:
-                ids = [new[k] if v is None else v for k, v in zip(keys, ids)]
+        full = [k if k[0] in BLANKS else f" {k}" for k in lacking]
+        many = [i for i, s in enumerate(full) if s[-1] not in BLANKS]
+        if many:
+            for i, value in zip(many, self.encode_many([full[i] for i in many])):
+                ids[lacking[i]] = value
+        for key, stretch in zip(lacking, full):
+            if ids[key] is None:
+                ids[key] = self.encode_stretch(stretch)
+            self.memory.put(key, ids[key])
+        of, out = ids.__getitem__, []
+        for first, keys in whole:
+            rest = b"".join(map(of, keys))
             if first:
-                (head,) = self.first.find([first])
+                head = self.first.get(first)
                 if head is None:
                     head = self.encode_stretch(first)
                     self.first.put(first, head)
-                ids.insert(0, head)
-            out.append(b"".join(ids))
-        for k, v in new.items():
-            self.memory.put(k, v)
+                rest = head + rest
+            out.append(rest)
         return out
 
     def encode_texts(self, texts: list[str]) -> Iterator[bytes]:

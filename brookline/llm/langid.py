@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import bounded_sample, ship
 from .convnet import ConvNet, softmax
 
 WINDOW = 256
@@ -56,12 +56,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     The sample is the ``sample`` rows with the smallest hashes of their ids, so it
     depends on the table only.  Training takes three windows from each text.
     """
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(text_col).rlike(r"\p{L}"))
-    n = F.length(text_col)
+    known = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
+    known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    n = F.length("text")
     spots = F.array(F.lit(0), F.greatest(F.lit(0), n / 2 - WINDOW / 2).cast("int"), F.greatest(F.lit(0), n - WINDOW))
-    parts = F.transform(spots, lambda p: F.substring(F.col(text_col), p + 1, F.lit(WINDOW)))
-    rows = rows.select(F.col(lang_col).alias("lang"), parts.alias("parts"), F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("id"))
-    found = rows.orderBy("h", "id", "lang").limit(sample).select("lang", "parts").collect()
+    parts = F.transform(spots, lambda p: F.substring(F.col("text"), p + 1, F.lit(WINDOW)))
+    found = bounded_sample(known.select("id", "lang", parts.alias("parts")), "id", sample).select("lang", "parts").collect()
+    found = [r for r in found if r["parts"] and any(map(str.isalpha, "".join(r["parts"])))]
     if not found:
         return None
     langs = sorted({r["lang"] for r in found})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, mixing, pii, simhash, spotsigs, token_files, toxicity
+from . import bpe, exact_dedup, langid, mixing, pii, secret_scan, simhash, spotsigs, token_files, toxicity
 from .common import table
 
 
@@ -79,6 +79,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return secret_scan.scan(docs, secret_scan.train(secret_scan.labelled(spark)), path_col="source")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
@@ -90,7 +95,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """The queries by name, ``op<number>_<name>``."""
-    own = [op1_spotsigs, op2_langid, op3_pii, op4_bpe, op5_exact_dedup, op6_mix, op7_toxicity, op9_simhash, op10_token_files]
+    own = [op1_spotsigs, op2_langid, op3_pii, op4_bpe, op5_exact_dedup, op6_mix, op7_toxicity, op8_secrets, op9_simhash, op10_token_files]
     return {f.__name__: f for f in own}
 
 

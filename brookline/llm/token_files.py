@@ -55,6 +55,16 @@ NO_ID = -(1 << 63)
 RECORD_IDS = 1 << 17
 
 
+def widths(ids: np.ndarray) -> np.ndarray:
+    """The bits that each id needs."""
+    if len(ids) and int(ids.max()) >> 52 == 0:
+        return np.frexp(ids.astype(np.float64))[1]  # a float holds these exactly
+    ids = ids.copy()
+    for shift in (1, 2, 4, 8, 16, 32):
+        ids |= ids >> np.uint64(shift)
+    return np.bitwise_count(ids)
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(words, offsets)`` of an id sequence."""
     n = len(ids)
@@ -67,11 +77,8 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     flat = np.zeros(blocks * BLOCK, np.uint64)
     flat[:n] = ids
     grid[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    smear = grid[:, :BLOCK].copy()
-    for shift in (1, 2, 4, 8, 16, 32):
-        smear |= smear >> np.uint64(shift)
     bits = np.zeros((blocks, BLOCK + most), np.uint8)
-    bits[:, :BLOCK] = np.bitwise_count(smear)
+    bits[:, :BLOCK] = widths(flat).reshape(blocks, BLOCK)
     # The selector at each position: windows' largest widths by doubling.
     select = np.zeros((blocks, BLOCK), np.uint8)
     powers = {1: bits}

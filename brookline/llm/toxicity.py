@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import bounded_sample, ship
 from .common_words import COMMON_WORDS
 from .convnet import ConvNet
 from .langid import held_out
@@ -105,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("_bl_id")).agg((F.max(label_col) > 0).cast("int").alias("_bl_y"))
-    pick = [known.filter(f"_bl_y = {y}").orderBy(F.xxhash64("_bl_id"), "_bl_id").limit(sample) for y in (0, 1)]
+    pick = [bounded_sample(known.filter(f"_bl_y = {y}"), "_bl_id", sample) for y in (0, 1)]
     few = F.broadcast(pick[0].unionByName(pick[1]))  # 2 * sample rows at most
     rows = docs.select(F.col(id_col).alias("_bl_id"), F.col(text_col).alias("_bl_t")).join(few, "_bl_id")
     rows = rows.select("_bl_id", "_bl_y", F.slice(buckets(F.col("_bl_t")), 1, crop).alias("w"))
