@@ -60,11 +60,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epoc
     return per.select("_bl_src", "_bl_s", "_bl_total", target.alias("_bl_target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = "mix") -> DataFrame:
-    """One row per row of ``docs``: id, size, source_size, target, taken.
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = "mix") -> DataFrame:
+    """One row per row of ``docs``: id, source, size, source_size, target, passes.
 
-    ``taken`` is the number of words that the mix takes from the row: its size
-    times the passes (0 to ``epochs``) in which it is taken.
+    ``passes`` is how often the mix takes the row: 0 to ``epochs`` times.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(
@@ -75,13 +74,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     base = cut(base)
     sources = cut(source_targets(base, weights, share, epochs))
-    rows = base.join(sources, base["_bl_src"].eqNullSafe(sources["_bl_src"])).drop("_bl_src")
+    rows = base.join(sources, base["_bl_src"].eqNullSafe(sources["_bl_src"])).drop(sources["_bl_src"])
     rows = rows.withColumn("_bl_b", F.conv(F.substring("_bl_h", 1, 3), 16, 10).cast("int"))
     rows = rows.withColumn("_bl_c", F.conv(F.substring("_bl_h", 4, 2), 16, 10).cast("int"))
     bucket = Window.partitionBy("_bl_s", "_bl_b", "_bl_c").orderBy("_bl_h", "_bl_id", "_bl_size")
     rows = rows.withColumn("_bl_n", F.row_number().over(bucket))
     rows = running_sum(rows, ["_bl_s"], "_bl_b", "_bl_c", ["_bl_h", "_bl_n"], "_bl_size", "_bl_cum")
-    rows = cut(rows.select("_bl_id", "_bl_s", "_bl_h", "_bl_n", "_bl_size", "_bl_total", "_bl_target", "_bl_cum"))
+    rows = cut(rows.select("_bl_id", "_bl_src", "_bl_s", "_bl_h", "_bl_n", "_bl_size", "_bl_total", "_bl_target", "_bl_cum"))
     budget = sources.agg(F.sum("_bl_target")).first()[0] or 0.0
 
     def finish(epoch) -> F.Column:
@@ -103,8 +102,33 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         times = sum(((mine(e) <= cutoff).cast("int") for e in range(epochs)), F.lit(0))
     return rows.select(
         F.col("_bl_id").alias(id_col),
+        F.col("_bl_src").alias("source"),
         F.col("_bl_size").alias("size"),
         F.col("_bl_total").alias("source_size"),
         F.col("_bl_target").alias("target"),
-        (F.col("_bl_size") * times).cast("long").alias("taken"),
+        times.alias("passes"),
     )
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """One row per row of ``docs``: id, size, source_size, target, taken.
+
+    ``taken`` is the number of words that the mix takes from the row, repeats
+    counted; ``options`` are those of `plan`.
+    """
+    rows = plan(docs, id_col, text_col, source_col, **options)
+    return rows.select(id_col, "size", "source_size", "target", (F.col("size") * F.col("passes")).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, columns as they were.
+
+    Rows that agree in id, source and size are taken alike, as often as the most
+    taken of them.  Texts are moved once, to meet their row of the plan.
+    """
+    rows = plan(docs, id_col, text_col, source_col, **options).filter("passes > 0")
+    rows = rows.groupBy(F.col(id_col).alias("_bl_id"), F.col("source").alias("_bl_src"), F.col("size").alias("_bl_size")).agg(F.max("passes").alias("_bl_times"))
+    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
+    same = docs[id_col].eqNullSafe(F.col("_bl_id")) & docs[source_col].eqNullSafe(F.col("_bl_src")) & (size == F.col("_bl_size"))
+    taken = docs.join(rows, same).withColumn("_bl_e", F.explode(F.sequence(F.lit(1), "_bl_times")))
+    return taken.select(*(docs[c] for c in docs.columns))
