@@ -4,39 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.shipping import ship
+
+__all__ = ["BROADCAST_ROWS", "bitmap_filter", "bounded_sample", "cut", "in_bitmap", "running_sum", "shared_dir", "ship", "small_side", "table", "written"]
+
 #: Rows that a broadcast side may have: narrow rows of some tens of bytes, so
 #: tens of MB at most.  Beyond it the same join runs as a shuffle join.
 BROADCAST_ROWS = 200_000
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package's modules to the executors, once per application.
-
-    Python workers import the functions that run there; Spark serves them the
-    archive from the driver, so that nothing has to be installed on executors.
-    """
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp(prefix="brookline-")) / "brookline.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for path in sorted(package.rglob("*.py")):
-            z.write(path, path.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    _shipped.add(context.applicationId)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table ``name`` below ``sf_dir``; any store that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
