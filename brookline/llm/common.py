@@ -9,15 +9,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.shipping import ship
+from ..plans import shipping
 
-__all__ = ["BROADCAST_ROWS", "bitmap_filter", "bounded_sample", "cut", "in_bitmap", "running_sum", "shared_dir", "ship", "small_side", "table", "written"]
+__all__ = ["BROADCAST_ROWS", "bitmap_filter", "bounded_sample", "clean", "cut", "in_bitmap", "own_dir", "running_sum", "shared_dir", "ship", "small_side", "table", "written"]
 
 #: Rows that a broadcast side may have: narrow rows of some tens of bytes, so
 #: tens of MB at most.  Beyond it the same join runs as a shuffle join.
 BROADCAST_ROWS = 200_000
 
 
+#: Rows of an Arrow batch; Spark's default of 10,000 is meant for narrower rows than texts.
+ARROW_ROWS = 1000
+
+
+def ship(spark: SparkSession) -> None:
+    """Prepares the session for Python passes over texts.
+
+    Workers get the package's modules.  Unless the session sets it, Arrow batches
+    are limited to `ARROW_ROWS` rows, as both sides hold whole batches in memory.
+    """
+    shipping.ship(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table ``name`` below ``sf_dir``; any store that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,6 +57,17 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; intermediate tables stay there until `clean`."""
+    return f"{shared_dir(spark)}/brookline/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables; results that aren't run yet are lost with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, without its lineage.
 
@@ -56,7 +83,7 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     For wide rows: columns are compressed, and later reads can prune them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/brookline/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

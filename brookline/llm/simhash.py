@@ -29,7 +29,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,7 +62,7 @@ def majority(hashes: np.ndarray) -> int:
     """The fingerprint: bits that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
-        rows = np.ascontiguousarray(hashes[k : k + (1 << 16)].astype("<i8")).view(np.uint8).reshape(-1, 8)
+        rows = np.ascontiguousarray(hashes[k : k + (1 << 16)], "<i8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(rows, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     bits = np.packbits(counts * 2 > len(hashes), bitorder="little")
     return int(bits.view("<i8")[0])
@@ -72,16 +71,19 @@ def majority(hashes: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
     """``(id, fingerprint long)`` of every whole text."""
 
-    @F.pandas_udf("long")
-    def bits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for rows in batches:
-            yield pd.Series([majority(np.asarray(r, np.int64)) for r in rows], dtype="int64")
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(1)  # offsets and values are used where they are
+            offsets, values = rows.offsets.to_numpy(), rows.values.to_numpy(zero_copy_only=False)
+            found = [majority(values[p:q]) for p, q in zip(offsets.tolist(), offsets[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], [id_col, "fingerprint"])
 
     ship(docs.sparkSession)
     found, hashes = shingle_hashes(F.col("_bl_t"), words)
     rows = docs.select(F.col(id_col).alias("_bl_id"), F.col(text_col).alias("_bl_t"))
     rows = rows.select("_bl_id", found.alias("_bl_w")).select("_bl_id", hashes.alias("_bl_h"))
-    return rows.select(F.col("_bl_id").alias(id_col), bits("_bl_h").alias("fingerprint"))
+    kind = rows.schema[0].dataType.simpleString()
+    return rows.mapInArrow(bits, f"`{id_col}` {kind}, fingerprint long")
 
 
 class Tries:

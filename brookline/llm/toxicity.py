@@ -159,7 +159,7 @@ def score_column(scorer: Scorer | None):
             if known is None:
                 yield pd.Series(np.zeros(len(rows)))
             else:
-                yield pd.Series(known.scores([np.asarray(r, np.int64) for r in rows]))
+                yield pd.Series(known.scores(rows.tolist()))
 
     return score
 

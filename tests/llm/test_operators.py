@@ -448,3 +448,12 @@ def test_pipeline(spark, texts):
     assert set(held["mix"]) <= set(held["simhash"]) and max(map(held["mix"].count, held["mix"])) <= 2
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert sorted(r.doc_id for r in last) == sorted(held["mix"]) and all(r.decoded_sha256 == sha(texts[r.doc_id]) for r in last)
+
+
+def test_clean(spark, docs):
+    from brookline.llm.common import clean, own_dir, written
+
+    written(docs.limit(1), "some")
+    clean(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
