@@ -24,11 +24,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,13 +41,18 @@ PIECES = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}
 #: White space and the run after it.  A piece never goes on over white space that
 #: follows something else, so such a stretch is cut into pieces on its own.
 STRETCH = re.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-BLANKS = frozenset(" \n" + "\t\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
-#: Stretches that a generation of a worker's memory holds (some 90 MB), and the longest.
-REMEMBERED, LONGEST = 400_000, 64
+#: Stretches that a worker remembers, at about 60 bytes each.
+REMEMBERED = 600_000
+ASCII_SPACE = np.frombuffer(b" \t\n\v\f\r", np.uint8)
+#: Multipliers of the hash (odd numbers without pattern), and all bits.
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Pairs of tokens whose compatibility is kept in an array: two to this power.
 PAIR_BITS = 21
+#: Rows of a batch that are Python objects at once.
+ROWS = 1000
 #: Code points of text that are encoded at once.
-AT_ONCE = 4_000_000
+AT_ONCE = 2_000_000
 #: White space other than the blank and the line feed (fixed values).
 OTHER_SPACE = "\t\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -60,36 +65,59 @@ def byte_letters() -> dict[int, str]:
     return letters | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Memory(dict):
-    """The ids of stretches seen lately, in two generations of bounded size.
+class Lexicon:
+    """The ids of stretches seen lately, in flat arrays.
 
-    What a full new generation pushes out was not asked for during a whole
-    generation; forgetting costs time, never a result.
+    A stretch of up to 24 bytes is three 64-bit words, exactly; a hash of these
+    sorts and finds it, and the words themselves are compared.  When the lexicon
+    is full, what was not asked for since the last time goes; forgetting costs
+    time, never a result.
     """
 
-    def __init__(self, most: int = REMEMBERED, longest: int = LONGEST):
-        self.most, self.longest, self.old = most, longest, {}
-
-    def fill(self, wanted: dict[str, bytes | None]) -> list[str]:
-        """Gives ``wanted`` the values of its keys; returns the keys that aren't known."""
-        get, old, lacking = self.get, self.old.get, []
-        for key in wanted:
-            value = get(key)
-            if value is None:
-                value = old(key)
-                if value is None:
-                    lacking.append(key)
-                    continue
-                self.put(key, value)
-            wanted[key] = value
-        return lacking
-
-    def put(self, key: str, value: bytes) -> None:
-        if len(key) <= self.longest:
-            if len(self) >= self.most:
-                self.old = dict(self)
+    def __init__(self, most: int = REMEMBERED):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.hash, self.word = np.zeros(0, np.uint64), np.zeros((0, 3), np.uint64)
+        self.start, self.count, self.used = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
+        self.ids = np.zeros(0, np.uint32)
+
+    def find(self, hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The entry of each stretch, -1 where there is none."""
+        if not len(self.hash):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+        same = (self.hash[at] == hashes) & (self.word[at] == words).all(1)
+        self.used[at[same]] = True
+        return np.where(same, at, -1)
+
+    def add(self, hashes: np.ndarray, words: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """New entries, with all their ids one after the other."""
+        if len(self.hash) + len(hashes) > self.most:
+            kept = np.flatnonzero(self.used)
+            if len(kept) + len(hashes) > self.most * 3 // 4:
                 self.clear()
-            self[key] = value
+            else:
+                counts_kept = self.count[kept].astype(np.int64)
+                self.ids = self.ids[spread(self.start[kept], counts_kept)]
+                self.hash, self.word, self.count = self.hash[kept], self.word[kept], self.count[kept]
+                self.start, self.used = np.cumsum(counts_kept) - counts_kept, np.zeros(len(kept), bool)
+        starts = len(self.ids) + np.cumsum(counts) - counts
+        self.ids = np.concatenate([self.ids, ids])
+        every = np.concatenate([self.hash, hashes])
+        order = np.argsort(every, kind="stable")
+        self.hash = every[order]
+        self.word = np.concatenate([self.word, words])[order]
+        self.start = np.concatenate([self.start, starts])[order]
+        self.count = np.concatenate([self.count, counts.astype(np.int32)])[order]
+        self.used = np.concatenate([self.used, np.ones(len(hashes), bool)])[order]
+
+
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The indexes ``starts[i] .. starts[i] + counts[i] - 1`` of all i, one after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
 
 class Goto:
@@ -156,7 +184,7 @@ class Goto:
 
 
 class Stretches:
-    """Encodes texts by their stretches: each new one once, frequent ones from memory.
+    """Encodes texts by their stretches: each different one of a batch once, frequent ones from memory.
 
     Subclasses have ``added`` (ids of special tokens by content) and encode
     stretches in `encode_many` and `encode_stretch`.
@@ -165,62 +193,117 @@ class Stretches:
     def __init__(self, added: dict[str, int]):
         self.added = added
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.memory, self.first = Memory(), Memory(REMEMBERED // 8)
+        self.lexicon = Lexicon()
+
+    def encode_many(self, joined: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of stretches of ``sizes`` bytes, and how many each has.
 
-    def encode_many(self, stretches: list[str]) -> list[bytes]:
+        The stretches begin with white space and end with something else, so that,
+        joined, they have the same tokens as each for itself.
+        """
         raise NotImplementedError
 
-    def encode_stretch(self, stretch: str) -> bytes:
+    def encode_stretch(self, stretch: str) -> list[int]:
         raise NotImplementedError
 
-    def keys(self, text: str) -> tuple[str, list[str]]:
-        """``text`` as its beginning and stretches, each without its leading blank.
+    @staticmethod
+    def starts(text: str, raw: bytes) -> np.ndarray:
+        """Where stretches begin, in bytes.
 
         The quick way cuts at blanks and line feeds, which is right if each of
-        them stands between two characters that aren't white space.  Stretches
-        that begin with white space other than one blank keep it.
+        them stands between two characters that aren't white space.
         """
         plain = not (
             "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1].isspace() or text[-1:].isspace()
             or any(c in text for c in OTHER_SPACE)
         )
         if plain:
-            first, *rest = text.replace("\n", " \n").split(" ")
-            return first, rest
-        found = STRETCH.findall(text)
-        first = found.pop(0) if found and found[0][0] not in BLANKS else ""
-        return first, [s[1:] if s[0] == " " and s[1:] and s[1] not in BLANKS else s for s in found]
-
-    def _many_bytes(self, texts: list[str]) -> list[bytes]:
-        whole = [self.keys(text) for text in texts]
-        ids: dict[str, bytes | None] = {}
-        for _, keys in whole:
-            ids.update(dict.fromkeys(keys))
-        lacking = self.memory.fill(ids)
-        # A key that begins with white space stands for itself, others for a blank and themselves.
-        full = [k if k[0] in BLANKS else f" {k}" for k in lacking]
-        many = [i for i, s in enumerate(full) if s[-1] not in BLANKS]
-        if many:
-            for i, value in zip(many, self.encode_many([full[i] for i in many])):
-                ids[lacking[i]] = value
-        for key, stretch in zip(lacking, full):
-            if ids[key] is None:
-                ids[key] = self.encode_stretch(stretch)
-            self.memory.put(key, ids[key])
-        of, out = ids.__getitem__, []
-        for first, keys in whole:
-            rest = b"".join(map(of, keys))
-            if first:
-                head = self.first.get(first)
-                if head is None:
-                    head = self.encode_stretch(first)
-                    self.first.put(first, head)
-                rest = head + rest
-            out.append(rest)
-        return out
-
-    def encode_texts(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as 32-bit integers, one after the other."""
+            b = np.frombuffer(raw, np.uint8)
+            return np.append(0, np.flatnonzero((b == 32) | (b == 10)))
+        sizes = [len(x.encode()) for x in STRETCH.findall(text)]
+        return np.cumsum([0, *sizes[:-1]])
+
+    def _encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts without special tokens."""
+        raws = [t.encode() for t in texts]
+        bases = np.cumsum([0, *map(len, raws)])
+        parts = [self.starts(t, r) + b for t, r, b in zip(texts, raws, bases.tolist()) if r]
+        if not parts:
+            return [np.zeros(0, np.uint32) for _ in texts]
+        start = np.concatenate(parts)
+        total = int(bases[-1])
+        size = np.diff(np.append(start, total))
+        raw = b"".join([*raws, b"\0" * 24])
+        # Three words of each stretch, with zeros behind its end.
+        view = np.ndarray((total + 17,), "<u8", raw, 0, (1,))
+        words = np.empty((len(start), 3), np.uint64)
+        for k in range(3):
+            own = np.clip(size - 8 * k, 0, 8).astype(np.uint64)
+            mask = np.where(own == 8, ALL, (np.uint64(1) << (own * np.uint64(8) & np.uint64(63))) - np.uint64(1))
+            words[:, k] = view[np.minimum(start + 8 * k, total)] & mask
+        hashes = words[:, 0] * MIX[0]
+        for k in (1, 2):
+            hashes ^= hashes >> np.uint64(29)
+            hashes = (hashes + words[:, k]) * MIX[k]
+        hashes ^= hashes >> np.uint64(32)
+        # A stretch of more than 24 bytes, or with a zero byte at its end, stands for itself.
+        odd = np.flatnonzero((size > 24) | (np.frombuffer(raw, np.uint8)[start + size - 1] == 0))
+        hashes[odd] = np.arange(len(odd), dtype=np.uint64)
+        words[odd] = 0
+        _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if (words[first][back] != words).any():  # one hash for two stretches: all stand for themselves
+            first, back = np.arange(len(start)), np.arange(len(start))
+        single = np.zeros(len(start), bool)
+        single[odd] = True
+        entry = self.lexicon.find(hashes[first], words[first])
+        entry[single[first]] = -1
+        lacking = np.flatnonzero(entry < 0)
+        ids, counts = self._encode_new(raw, start[first[lacking]], size[first[lacking]])
+        # Ids of all different stretches, of the lexicon and new ones, in one array.
+        held = len(self.lexicon.ids)
+        pool = np.concatenate([self.lexicon.ids, ids])
+        at, many = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        known = np.flatnonzero(entry >= 0)
+        at[known], many[known] = self.lexicon.start[entry[known]], self.lexicon.count[entry[known]]
+        at[lacking], many[lacking] = held + np.cumsum(counts) - counts, counts
+        each = many[back]
+        out = pool[spread(at[back], each)]
+        keep = np.flatnonzero(~single[first[lacking]])
+        own = first[lacking[keep]]
+        self.lexicon.add(hashes[own], words[own], ids[spread((np.cumsum(counts) - counts)[keep], counts[keep])], counts[keep])
+        ends = np.append(0, np.cumsum(each))[np.searchsorted(start, bases)]
+        return [out[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+    def _encode_new(self, raw: bytes, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the stretches, and how many each has."""
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        b = np.frombuffer(raw, np.uint8)
+        # The usual kind begins with ASCII white space; its end is looked at as text below.
+        usual = np.isin(b[start], ASCII_SPACE) & (size <= 1000)
+        usual[usual] &= ~np.isin(b[(start + size - 1)[usual]], ASCII_SPACE) & (b[(start + size - 1)[usual]] < 0x80)
+        more = np.flatnonzero(~usual)
+        ids: list = [None] * len(start)
+        for i in more.tolist():
+            ids[i] = np.array(self.encode_stretch(raw[start[i] : start[i] + size[i]].decode()), np.uint32)
+        some = np.flatnonzero(usual)
+        counts = np.zeros(len(start), np.int64)
+        counts[more] = [len(ids[i]) for i in more.tolist()]
+        if len(some):
+            joined = b[spread(start[some], size[some])].tobytes().decode()
+            got, own = self.encode_many(joined, size[some])
+            counts[some] = own
+        else:
+            got, own = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        out = np.zeros(int(counts.sum()), np.uint32)
+        at = np.cumsum(counts) - counts
+        out[spread(at[some], own)] = got
+        for i in more.tolist():
+            out[at[i] : at[i] + counts[i]] = ids[i]
+        return out, counts
+
+    def encode_texts(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, as unsigned 32-bit integers."""
         parts, size = [], 0
         for i, text in enumerate(texts):
             text = text or ""
@@ -228,18 +311,16 @@ class Stretches:
             parts += [(i, k % 2, p) for k, p in enumerate(cut)]
             size += len(text)
             if size >= AT_ONCE or i + 1 == len(texts):
-                plain = iter(self._many_bytes([p for _, special, p in parts if not special]))
-                ids: dict[int, list[bytes]] = {}
+                plain = iter(self._encode_batch([p for _, special, p in parts if not special]))
+                ids: dict[int, list[np.ndarray]] = {}
                 for j, special, p in parts:
-                    ids.setdefault(j, []).append(array("I", [self.added[p]]).tobytes() if special else next(plain))
-                yield from map(b"".join, ids.values())
+                    ids.setdefault(j, []).append(np.array([self.added[p]], np.uint32) if special else next(plain))
+                for x in ids.values():
+                    yield x[0] if len(x) == 1 else np.concatenate(x)
                 parts, size = [], 0
 
-    def encode_bytes(self, text: str) -> bytes:
-        return next(self.encode_texts([text]))
-
     def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(self.encode_bytes(text or ""), np.uint32)
+        return next(self.encode_texts([text or ""]))
 
 
 class Library(Stretches):
@@ -258,20 +339,22 @@ class Library(Stretches):
         for token, i in vocab.items():
             self.lengths[i] = len(token)  # one letter for each byte
 
-    def encode_stretch(self, stretch: str) -> bytes:
-        return array("I", self.tokenizer.encode(stretch, add_special_tokens=False).ids).tobytes()
-
-    def encode_many(self, stretches: list[str]) -> list[bytes]:
-        """As `Codec.encode_many`: joined, stretches give the same tokens as each for itself."""
-        groups = [stretches[k : k + 500] for k in range(0, len(stretches), 500)]
-        out = []
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(found.ids, np.uint32)
-            size = np.fromiter((len(s) if s.isascii() else len(s.encode()) for s in group), np.int64, len(group))
-            cuts = (np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(size)) + 1) * 4
-            raw, cuts = ids.tobytes(), cuts.tolist()
-            out += [raw[a:b] for a, b in zip([0, *cuts], cuts)]
-        return out
+    def encode_stretch(self, stretch):
+        return self.tokenizer.encode(stretch, add_special_tokens=False).ids
+
+    def encode_many(self, joined, sizes):
+        # Some thousand bytes at a time: tokens are told apart by their lengths.
+        raw = joined.encode()
+        ends = np.cumsum(sizes)
+        cuts = np.unique(np.append(np.searchsorted(ends, np.arange(4000, len(raw), 4000)), len(sizes) - 1))
+        bounds = np.append(0, ends[cuts]).tolist()
+        texts = [raw[a:b].decode() for a, b in zip(bounds, bounds[1:])]
+        ids = []
+        for k in range(0, len(texts), 32):  # what the library returns takes much memory
+            ids += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[k : k + 32], add_special_tokens=False)]
+        ids = np.concatenate(ids)
+        upto = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
+        return ids, np.diff(np.append(0, upto))
 
 
 class Codec(Stretches):
@@ -369,7 +452,7 @@ class Codec(Stretches):
                 i += 1
             else:
                 j += 1
-        if len(self._fits) > 1_000_000:
+        if len(self._fits) > 100_000:
             self._fits.clear()
         self._fits[key] = found
         return found
@@ -409,11 +492,8 @@ class Codec(Stretches):
                 token = out.pop()
                 at -= size[token]
 
-    def encode_stretch(self, stretch: str) -> bytes:
-        ids = array("I")
-        for piece in self.pieces.findall(stretch):
-            ids.extend(self.encode_piece(piece.encode()))
-        return ids.tobytes()
+    def encode_stretch(self, stretch):
+        return [i for piece in self.pieces.findall(stretch) for i in self.encode_piece(piece.encode())]
 
     def pairs_fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """`fits` for arrays of tokens; what the array of known pairs lacks is worked out once."""
@@ -432,26 +512,16 @@ class Codec(Stretches):
             self.pair_fits[at[kept]] = found[kept]
         return out
 
-    def encode_many(self, stretches: list[str]) -> list[bytes]:
-        """The ids of stretches that begin with white space and end with something else.
-
-        Joined, they are cut into the same pieces as each for itself.
-        """
-        joined = "".join(stretches)
+    def encode_many(self, joined, sizes):
         pieces = self.pieces.findall(joined)
         ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
         text = np.frombuffer(joined.encode(), np.uint8)
-        points = np.append(np.flatnonzero(text & 0xC0 != 0x80), len(text))
-        stop = points[ends]
+        stop = np.append(np.flatnonzero(text & 0xC0 != 0x80), len(text))[ends]
         start = np.append(0, stop[:-1])
         out, count = self._search(text, start, stop)
-        used = np.zeros(len(text) + 1, np.int32)
-        np.add.at(used, start, 1)
-        np.add.at(used, start + count, -1)
-        ids = out[np.cumsum(used)[:-1] > 0].astype(np.uint32).tobytes()
-        last = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, stretches), np.int64, len(stretches))))
-        cuts = (np.cumsum(count)[last] * 4).tolist()
-        return [ids[a:b] for a, b in zip([0, *cuts], cuts)]
+        ids = out[spread(start, count)].astype(np.uint32)
+        upto = np.cumsum(count)[np.searchsorted(stop, np.cumsum(sizes))]
+        return ids, np.diff(np.append(0, upto))
 
     def _search(self, text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of each piece from its start on in an array as long as ``text``; how many."""
@@ -550,7 +620,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = codec(source)
         for texts in batches:
-            yield pd.Series([np.frombuffer(b, np.int32) for b in own.encode_texts(texts.tolist())])
+            yield pd.Series([ids.astype(np.int32) for ids in own.encode_texts(texts.tolist())])
 
     return docs.select(F.col(id_col), ids(F.coalesce(F.col(text_col), F.lit(""))).alias("ids"))
 
@@ -578,16 +648,19 @@ def round_trip_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ship(docs.sparkSession)
     source = vocabulary(path)
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(source)
-        for texts in batches:
-            rows = []
-            for got in own.encode_texts(texts.tolist()):
-                ids = np.frombuffer(got, np.uint32)
-                said = hashlib.sha256(own.written(ids)).hexdigest()
-                rows.append((len(ids), said, hashlib.sha256(own.decode_bytes(ids)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    out = docs.select(F.col(id_col), digest(F.coalesce(F.col(text_col), F.lit(""))).alias("_bl_d"))
-    return out.select(F.col(id_col), "_bl_d.n_tokens", "_bl_d.ids_sha256", "_bl_d.decoded_sha256")
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):  # few texts at a time are Python strings
+                part = batch.slice(k, ROWS)
+                counts, said, back = [], [], []
+                for ids in own.encode_texts(part.column(1).to_pylist()):
+                    counts.append(len(ids))
+                    said.append(hashlib.sha256(own.written(ids)).hexdigest())
+                    back.append(hashlib.sha256(own.decode_bytes(ids)).hexdigest())
+                columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(said, pa.string()), pa.array(back, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_bl_t"))
+    kind = rows.schema[0].dataType.simpleString()
+    return rows.mapInArrow(digest, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

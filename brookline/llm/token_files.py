@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import shared_dir, ship
+from .common import own_dir, ship
 
 BLOCK = 256
 #: Selectors: ids per word, bits per id (fixed values of the format).  0 is the escape.
@@ -183,7 +183,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
     source = bpe.vocabulary(vocabulary)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    end = np.array([end_id], np.uint32).tobytes()
+    end = np.array([end_id], np.uint32)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe.codec(source, bpe.Library)
@@ -192,7 +192,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
 
         def flush() -> pa.RecordBatch:
             nonlocal block, before, size
-            ids = np.frombuffer(b"".join(held), np.uint32)
+            ids = np.concatenate(held)
             data = record(np.array(docs, np.int64), np.array(counts, np.int64), ids)
             out = pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())],
@@ -202,11 +202,12 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
             docs.clear(), counts.clear(), held.clear()
             return out
 
-        for batch in batches:
-            keys = [NO_ID if i is None else i for i in batch.column(0).to_pylist()]
-            for key, ids in zip(keys, own.encode_texts(batch.column(1).to_pylist())):
+        parts = (batch.slice(k, bpe.ROWS) for batch in batches for k in range(0, batch.num_rows, bpe.ROWS))
+        for part_rows in parts:
+            keys = [NO_ID if i is None else i for i in part_rows.column(0).to_pylist()]
+            for key, ids in zip(keys, own.encode_texts(part_rows.column(1).to_pylist())):
                 docs.append(key)
-                counts.append(len(ids) // 4 + 1)
+                counts.append(len(ids) + 1)
                 held.append(ids)
                 held.append(end)
                 size += counts[-1]
@@ -254,6 +255,6 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
 def token_digests(docs: DataFrame, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, path: str | None = None) -> DataFrame:
     """Writes the token files, to the shared folder unless ``path`` is given, and reads them back."""
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/brookline/tokens-{uuid.uuid4().hex}"
+    path = path or f"{own_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, end_id, id_col, text_col, vocabulary)
     return read_tokens(spark, path, digest=True)
