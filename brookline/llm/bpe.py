@@ -334,6 +334,7 @@ class Library(Stretches):
         self.tokenizer.no_padding()
         spec = json.loads(source)
         super().__init__({t["content"]: t["id"] for t in spec.get("added_tokens", [])})
+        self.lexicon.most *= 2  # there is room for it, without the codec's tables
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():

@@ -67,24 +67,18 @@ def widths(ids: np.ndarray) -> np.ndarray:
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(words, offsets)`` of an id sequence."""
-    n = len(ids)
+    n, most = len(ids), int(COUNT.max())
     blocks = -(-n // BLOCK)
-    size = np.full(blocks, BLOCK)
-    if n % BLOCK:
-        size[-1] = n % BLOCK
-    most = int(COUNT.max())
-    grid = np.zeros((blocks, BLOCK + most), np.uint64)
-    flat = np.zeros(blocks * BLOCK, np.uint64)
+    flat = np.zeros(blocks * BLOCK + most, np.uint64)
     flat[:n] = ids
-    grid[:, :BLOCK] = flat.reshape(blocks, BLOCK)
     bits = np.zeros((blocks, BLOCK + most), np.uint8)
-    bits[:, :BLOCK] = widths(flat).reshape(blocks, BLOCK)
-    # The selector at each position: windows' largest widths by doubling.
-    select = np.zeros((blocks, BLOCK), np.uint8)
+    bits[:, :BLOCK] = widths(flat[: blocks * BLOCK]).reshape(blocks, BLOCK)
+    # The widest packing that fits at each position, by its place in `ORDER`; a
+    # window's largest width comes from windows of powers of two.
     powers = {1: bits}
-    for k in ORDER:
-        c = int(COUNT[k])
-        p = 1
+    best = np.zeros((blocks, BLOCK), np.uint8)
+    for place, k in enumerate(ORDER, 1):
+        c, p = int(COUNT[k]), 1
         while p * 2 <= c:
             if p * 2 not in powers:
                 x = powers[p].copy()
@@ -93,32 +87,34 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             p *= 2
         x = powers[p]
         widest = x[:, :BLOCK] if p == c else np.maximum(x[:, :BLOCK], x[:, c - p : c - p + BLOCK])
-        select[widest <= WIDTH[k]] = k
+        np.maximum(best, (widest <= WIDTH[k]).view(np.uint8) * np.uint8(place), out=best)
+    select = np.array([0, *ORDER], np.int64)[best.reshape(-1)]
     # All blocks step from word to word together.
-    at = np.zeros(blocks, np.int64)
-    live = np.arange(blocks)
-    steps = []
-    while len(live):
-        k = select[live, at[live]]
-        steps.append((live, at[live], k))
-        at[live] += COUNT[k]
-        live = live[at[live] < size[live]]
-    rows, cols, kinds = (np.concatenate(x) for x in zip(*steps)) if steps else (np.zeros(0, np.int64),) * 3
-    order = np.argsort(rows * BLOCK + cols)
-    rows, cols, kinds = rows[order], cols[order], kinds[order]
+    first = np.zeros(len(select), bool)
+    at = np.arange(blocks) * BLOCK
+    end = np.minimum(at + BLOCK, n)
+    step = COUNT[select]
+    while len(at):
+        first[at] = True
+        at = at + step[at]
+        on = at < end
+        at, end = at[on], end[on]
+    at = np.flatnonzero(first)
+    kinds = select[at]
     place = np.cumsum(1 + (kinds == 0)) - (1 + (kinds == 0))  # an escape has two words
-    total = len(rows) + int((kinds == 0).sum())
+    total = len(at) + int((kinds == 0).sum())
     words = np.zeros(total, np.uint64)
     for k in np.unique(kinds):
         own = np.flatnonzero(kinds == k)
         if k == 0:
-            words[place[own] + 1] = grid[rows[own], cols[own]]
+            words[place[own] + 1] = flat[at[own]]
             continue
-        word = np.full(len(own), k, np.uint64)
+        # Room behind a block's last id may get bits of the next block's; it is never read.
+        word, start = np.full(len(own), k, np.uint64), at[own]
         for i in range(int(COUNT[k]) if WIDTH[k] else 0):
-            word |= grid[rows[own], cols[own] + i] << np.uint64(4 + i * int(WIDTH[k]))
+            word |= flat[start + i] << np.uint64(4 + i * int(WIDTH[k]))
         words[place[own]] = word
-    offsets = np.append(place[np.searchsorted(rows, np.arange(blocks))], total) if blocks else np.zeros(1, np.int64)
+    offsets = np.append(place[np.searchsorted(at, np.arange(blocks) * BLOCK)], total) if blocks else np.zeros(1, np.int64)
     return words, offsets.astype(np.uint64)
 
 
@@ -133,17 +129,12 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     at = np.flatnonzero(heads)
     kinds = kinds[at]
     count = COUNT[kinds]
-    block = np.searchsorted(offsets.astype(np.int64), at, "right") - 1
+    bounds = np.append(0, np.cumsum(heads))[offsets.astype(np.int64)]  # of each block, in heads
+    block = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    before = np.append(0, np.cumsum(count))
+    start = before[:-1] - before[bounds[:-1]][block] + block * BLOCK
     # A block's last word may have room for more ids than are left.
-    ends = np.cumsum(count)
-    first = np.searchsorted(at, offsets[:-1].astype(np.int64))
-    before = (ends - count)[first] if len(first) else np.zeros(0, np.int64)
-    inside = ends - count - before[block]
-    size = np.full(len(first), BLOCK)
-    if n % BLOCK:
-        size[-1] = n % BLOCK
-    used = np.minimum(count, size[block] - inside)
-    start = block * BLOCK + inside
+    used = np.minimum(count, np.minimum((block + 1) * BLOCK, n) - start)
     out = np.zeros(n, np.uint64)
     for k in np.unique(kinds):
         own = np.flatnonzero(kinds == k)
@@ -152,10 +143,12 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
             continue
         if not WIDTH[k]:
             continue
-        mask = np.uint64((1 << int(WIDTH[k])) - 1)
+        mask, some, first, left = np.uint64((1 << int(WIDTH[k])) - 1), words[at[own]], start[own], used[own]
         for i in range(int(COUNT[k])):
-            some = own[used[own] > i]
-            out[start[some] + i] = words[at[some]] >> np.uint64(4 + i * int(WIDTH[k])) & mask
+            if i and (left <= i).any():
+                keep = left > i
+                some, first, left = some[keep], first[keep], left[keep]
+            out[first + i] = some >> np.uint64(4 + i * int(WIDTH[k])) & mask
     return out
 
 
