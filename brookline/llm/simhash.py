@@ -260,7 +260,12 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Of rows with that id, all of which are in the component, the first by text
     stays; rows without an id are never dropped.
     """
-    groups = written(near_groups(docs, id_col, text_col, words, budget), "near")
+    return keep_first(docs, near_groups(docs, id_col, text_col, words, budget), id_col)
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """`drop_near_copies` for ``groups`` with ``(id, component_id)`` for every row of ``docs``."""
+    groups = written(groups, "near")
     gone = groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_bl_id")).distinct()
     gone = written(gone, "near-gone")
     kept = docs.join(small_side(gone), docs[id_col] == F.col("_bl_id"), "left_anti")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brookline.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from brookline.llm import bpe, exact_dedup, mixing, near_texts, simhash, toxicity
 from brookline.llm.common import table, written
 
 
@@ -24,8 +24,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the document with the smallest id stays."""
-    return simhash.drop_near_copies(docs)
+    """Of each component of texts with a five-word Jaccard of 0.8 or more the document with the smallest id stays."""
+    return simhash.keep_first(docs, near_texts.near_groups(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

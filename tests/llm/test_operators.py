@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brookline.llm import bpe, components, exact_dedup, langid, mixing, pii, secret_scan, simhash, spotsigs, token_files, toxicity
+from brookline.llm import bpe, components, exact_dedup, langid, mixing, near_texts, pii, secret_scan, simhash, spotsigs, token_files, toxicity
 from brookline.llm.queries import OP6_SQL
 from brookline.llm.queries import oracle_sql as sql
 from brookline.llm.queries import queries
@@ -424,6 +424,55 @@ def test_simhash_of_odd_texts(odd, empty):
     assert simhash.near_groups(empty).count() == 0
 
 
+def five_words(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans(simhash.UPPER, simhash.LOWER)))
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def alike_components(texts):
+    sets = {i: five_words(t) for i, t in texts.items()}
+    near = {i: [j for j, b in sets.items() if 4 * len(b) <= 5 * len(a) and 4 * len(a) <= 5 * len(b) and jaccard(a, b) >= 0.8] for i, a in sets.items()}
+    label = {i: i for i in sets}
+    while label != (new := {i: min(label[j] for j in near[i]) for i in sets}):
+        label = new
+    return label
+
+
+def test_near_stage_against_brute_force(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    made, shared = {}, [f"s{k}" for k in range(30)]
+    for n in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(1, 300))]
+        for edits in (0, 0, *rng.integers(1, 2 + len(base) // 20, 4)):
+            words = list(base)
+            for at in rng.integers(0, len(words), edits):
+                words[at] = f"e{rng.integers(0, 10**6)}"
+            made[len(made)] = " ".join([*words, *shared] if n % 2 else words)
+    made |= {1000 + n: " ".join([*shared, *(f"own{n}x{k}" for k in range(n % 9))]) for n in range(60)}
+    made |= {2000: None, 2001: "", 2002: " \n ", 2003: "one", 2004: "one two"}
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string").repartition(3)
+    want = alike_components(made)
+    assert len(set(want.values())) < len(want) - 100
+    assert {r.doc_id: r.component_id for r in near_texts.near_groups(df).collect()} == want
+    assert sorted(r.doc_id for r in corpus_pipeline.near(spark, df, SF).collect()) == sorted(set(want.values()))
+
+
+def test_near_stage_of_documents(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = alike_components({r.doc_id: r.text for r in docs.select("doc_id", "text").collect()})
+    assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, SF).collect()) == sorted(set(want.values()))
+
+
+def test_near_texts_of_odd_texts(odd, empty):
+    kept = simhash.keep_first(odd, near_texts.near_groups(odd))
+    assert kept.columns == odd.columns and sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([None, 1, 2, 6, 7, 9], key=repr)
+    assert near_texts.near_groups(empty).count() == 0
+
+
 # the pipeline
 
 
