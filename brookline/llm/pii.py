@@ -2,7 +2,8 @@
 
 Mail addresses, IP addresses, card numbers and phone numbers that the fixed
 patterns match are the seeds.  The words in front of a seed are a lexical pattern.
-All tokens that look like an identifier are instances; patterns and instances
+All tokens that look like an identifier, and runs of neighbouring ones with digits
+that blanks and brackets join, are instances; patterns and instances
 form a graph with an edge for each pair that occurs together.  In every round a
 pattern is scored, for each kind, by the share of its edges that lead to
 instances of that kind, weighted by their confidence, and an instance by the
@@ -41,6 +42,8 @@ PATTERNS = {
 #: What a text must contain for a pattern to be tried.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TOKEN = r"(?<!\S)(?=\S*[0-9@])\S++"
+#: Neighbouring tokens of digits, brackets and signs, joined by single blanks: spaced phones and cards.
+RUN = r"(?<!\S)[+(]*+[0-9][0-9().+/-]*+(?:\x20[+(]*+[0-9][0-9().+/-]*+)++(?=[\s,;:!?\x22']|$)"
 ROUNDS, TRUST, SUPPORT = 3, 0.8, 3
 #: Characters in front of a token that its pattern is read from.
 BEFORE = 80
@@ -93,9 +96,17 @@ def valid(kind: str):
 
 
 def context(text: Column, start: Column) -> Column:
-    """The lexical pattern in front of ``start``: two words, lower-cased, with what is between them."""
+    """The lexical pattern in front of ``start``: two words, lower-cased, with what is between them.
+
+    A number counts as a word, its digits as 0.  Where the text begins before two
+    words, ``^`` stands for what is missing.  Opening signs of the identifier itself
+    aren't part of it.
+    """
     before = F.substring(text, F.greatest(start - BEFORE, F.lit(0)) + 1, F.least(start, F.lit(BEFORE)))
-    return F.lower(F.regexp_extract(before, r"(\p{L}++[^\p{L}\p{N}]++\p{L}++[^\p{L}\p{N}]*+)$", 1))
+    before = F.regexp_replace(before, r"[(+]++$", "")
+    marked = F.when(start <= BEFORE, F.concat(F.lit("^ "), before)).otherwise(before)
+    found = F.regexp_extract(marked, r"((?:\^|[\p{L}\p{N}]++)[^\p{L}\p{N}]++[\p{L}\p{N}]++[^\p{L}\p{N}]*+|\^\x20[^\p{L}\p{N}]*+)$", 1)
+    return F.lower(F.regexp_replace(found, r"\p{N}++", "0"))
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,6 +121,7 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         "*",
         *(F.filter(matches(t, PATTERNS[k], NEEDS[k]), valid(k)).alias(f"_bl_{k}") for k in KINDS),
         matches(t, TOKEN).alias("_bl_tokens"),
+        matches(t, RUN).alias("_bl_runs"),
     )
 
     def named(kind: Column, m: Column) -> Column:
@@ -126,8 +138,17 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         a, b = m["start"] + lead(m), m["end"] - tail(m)
         return F.struct(a.alias("start"), b.alias("end"), F.substring(t, a + 1, b - a).alias("value"))
 
+    def bracketed(m: Column) -> Column:
+        """A run with the bracket that opens it, if it closes it too."""
+        opened = m["value"].rlike(r"^[^(]*\)") & (F.substring(t, m["start"], F.lit(1)) == "(")
+        a = m["start"] - opened.cast("int")
+        return F.struct(a.alias("start"), m["end"].alias("end"), F.substring(t, a + 1, m["end"] - a).alias("value"))
+
     free = lambda m: ~F.exists("seeds", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
-    tokens = F.filter(F.transform("_bl_tokens", trimmed), lambda m: (m["end"] - m["start"] >= 5) & free(m))
+    long = lambda c: F.filter(F.transform(c, trimmed), lambda m: (m["end"] - m["start"] >= 5) & free(m))
+    rows = rows.withColumn("_bl_r2", F.transform(long("_bl_runs"), bracketed))
+    apart = lambda m: ~F.exists("_bl_r2", lambda r: (r["start"] < m["end"]) & (m["start"] < r["end"]))
+    tokens = F.concat("_bl_r2", F.filter(long("_bl_tokens"), apart))
     return rows.select("_bl_r", "_bl_id", "seeds", F.transform(tokens, lambda m: named(F.lit(None).cast("string"), m)).alias("tokens"))
 
 

@@ -216,6 +216,23 @@ def test_contexts_find_more(spark):
     assert got[100] == "email:19:35" and got[101] == ""
 
 
+def test_contexts_find_spaced_and_leading_identifiers(spark):
+    def number(i):
+        body = f"41111111111{i:04d}"
+        doubled = [int(d) * (2 - k % 2) for k, d in enumerate(body)]
+        return body + str(-sum(d - 9 * (d > 9) for d in doubled) % 10)
+
+    fours = lambda s: " ".join(s[k : k + 4] for k in range(0, 16, 4))
+    rows = [(i, f"please call me at +1 (017) 555-77{i:02d} today") for i in range(20)]
+    rows += [(100 + i, f"she paid by card {fours(number(i))} today") for i in range(20)]
+    rows += [(200 + i, f"Email: x{i}@mail.example.com") for i in range(20)]
+    rows += [(400 + i, f"room 1{i % 3} host 10.0.0.{i} up") for i in range(20)]
+    odd = {300: ("please call me at (017) 555-9913 today", "phone:18:32"), 301: ("she paid by card 4111 1111 1111 1112, today", "card:17:36"), 302: ("Email: x(at)y7", "email:7:14")}
+    rows += [(i, t) for i, (t, _) in odd.items()] + [(303, "it was (017) 555-9914 degrees")]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i] for i in odd} == {i: s for i, (_, s) in odd.items()} and got[303] == ""
+
+
 # 4 and 10
 
 
