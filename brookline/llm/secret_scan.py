@@ -1,7 +1,9 @@
 """Secrets in texts: candidates by a wide pattern, false positives removed by a random forest.
 
 Every run of 16 or more characters of keys and codes, with a digit or of mixed
-case, is a candidate.  Its features are its length, its changes between classes
+case, is a candidate; it ends at an assignment sign.  So is what is assigned to a
+name with a cue word, of any length and punctuation; quoted values may have blanks.
+A candidate's features are its length, its changes between classes
 of characters, how much of it is dictionary words, how it lies in a path, and the
 words beside it.  A random forest (Spark ML, inside the JVM) that was trained on
 labelled findings of the same features gives the probability of a secret.
@@ -33,13 +35,16 @@ from pyspark.sql import functions as F
 from .common_words import COMMON_WORDS
 from .pii import matches
 
-CANDIDATE = r"(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z0-9+/=_.-]*+(?<=[A-Za-z0-9+/=_.-]{16}))(?=\S*[0-9A-Z])[A-Za-z0-9+/=_.-]++"
+CANDIDATE = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z0-9+/_.-]*+=*+(?<=[A-Za-z0-9+/=_.-]{16}))(?=\S*[0-9A-Z])[A-Za-z0-9+/_.-]++(?:=++(?![^\s\"'`,;)\]}]))?+"
 CUES = "secret token password passwd pwd key apikey auth credential credentials private bearer access passphrase login signature".split()
+#: A cue word and an assignment sign, and the value behind them.
+ASSIGNS = r"(?i)(?:" + "|".join(CUES) + r")[a-z0-9_.-]{0,40}+[\"'`]?\s{0,3}[=:]++>?\s{0,3}"
+ASSIGNED = ASSIGNS + r"(?:\"[^\"\n]++(?=\")|'[^'\n]++(?=')|`[^`\n]++(?=`)|[\"'`]?[^\s\"'`]*[^\s\"'`.,;)\]}])"
 OTHER = "commit sha sha1 sha256 md5 checksum digest hash uuid guid id revision version file path class image cache etag build object tree".split()
 NAMES = "user name config default example test data server client value index module service manager handler controller factory string number object list base main src lib bin usr home var www com org net http https html json yaml docs assets static images style version build release internal application component".split()
 #: Code points before and behind a candidate that its neighbouring words are taken from.
 NEAR = 48
-FEATURES = ["length", "to_digit", "to_letter", "to_upper", "digits", "uppers", "distinct", "words", "slashes", "dots", "dashes", "assigned", "quoted", "cues", "others", "in_path", "in_url", "hexadecimal"]
+FEATURES = ["length", "to_digit", "to_letter", "to_upper", "digits", "uppers", "distinct", "words", "slashes", "dots", "dashes", "assigned", "quoted", "cues", "others", "in_path", "in_url", "hexadecimal", "marks", "named"]
 TREES, DEPTH, SEED = 40, 8, 17
 
 
@@ -70,6 +75,8 @@ def features(df: DataFrame, value: str, before: str, behind: str, path: str) ->
         "others": some(OTHER),
         "in_path": F.lower(F.coalesce(F.col(path), F.lit(""))).rlike(r"test|example|fixture|sample|mock|doc").cast("double"),
         "in_url": low.rlike(r"(://|www\.)\S*$").cast("double"),
+        "marks": share("[^A-Za-z0-9+/=_.-]"),
+        "named": F.col(behind).rlike(r"^\s*[=:]").cast("double"),
         "hexadecimal": v.rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double"),
     })
 
@@ -81,6 +88,17 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hits = F.filter(matches(F.col("_bl_t"), CANDIDATE), lambda m: m["value"].rlike("[0-9]|[a-z][A-Z]|[A-Z][a-z]") & ~m["value"].rlike(r"^[0-9.,/=+_-]+$"))
     text = F.col("_bl_t")
 
+    def bare(m: Column) -> Column:
+        """The value alone, without its name, sign and opening quote."""
+        lead = F.length(F.regexp_extract(m["value"], f"^{ASSIGNS}[\"'`]?", 0))
+        value = F.substring(m["value"], lead + 1, F.length(m["value"]) - lead)
+        return F.struct((m["start"] + lead).alias("start"), m["end"].alias("end"), value.alias("value"))
+
+    rows = rows.withColumn("_bl_a", F.filter(F.transform(matches(text, ASSIGNED), bare), lambda m: m["value"] != ""))
+    # A run at either end of an assigned value is that value, or a part of it.
+    inside = lambda m: F.exists("_bl_a", lambda a: (a["start"] <= m["start"]) & (m["end"] <= a["end"]) & ((a["start"] == m["start"]) | (a["end"] == m["end"])))
+    hits = F.array_sort(F.concat("_bl_a", F.filter(hits, lambda m: ~inside(m))))
+
     def near(m: Column) -> Column:
         start = F.greatest(m["start"] - NEAR, F.lit(0))
         return F.struct(
@@ -113,6 +131,15 @@ def labelled(spark: SparkSession, each: int = 120, seed: int = SEED) -> DataFram
         add(1, f"{cue} ", rng.choice(["ghp_", "sk_live_", "xoxb-", "glpat-"]) + of(b62, rng.randint(24, 36)))
         add(1, "authorization: bearer ", of(b62, rng.randint(30, 60)))
         add(1, f"{cue}{sign}", of(b62 + "+/", 40))
+        sure, marks = rng.choice(CUES[:6]), "!#$%&*@^?~"
+        pick = rng.choice([case(sure), f"{word()}_{sure}", f"{word()}_{sure}".upper()])
+        short = rng.choice([of(b62 + marks, rng.randint(7, 18)), of(string.ascii_lowercase, rng.randint(3, 7)) + of(string.digits, rng.randint(1, 4)) + of(string.ascii_lowercase + marks, rng.randint(0, 6)), of(string.ascii_letters, 4).capitalize() + of(b62, 4) + of(marks, 1) + of(string.digits, 1)])
+        some = rng.choice([quote, ""])
+        add(1, f"{pick}{sign}{some}", short, some)
+        add(1, f"{word()}_{cue}{sign}".upper(), of(b62 + "+/", 40))
+        plain = rng.choice([of(string.ascii_lowercase, rng.randint(1, 12)), word(), word().capitalize(), f"{word()}()", "${" + word().upper() + "}", f"<{word()}-{cue}>", "****", str(rng.randint(0, 99))])
+        add(0, f"{rng.choice([cue, pick])}{sign}{some}", plain, some)
+        add(0, "", f"{word()}_{word()}_{cue}_{word()}".upper(), rng.choice(["=", " = ", ": "]) + of(b62, 30))
         add(0, f"{rng.choice(OTHER)} ", of(hexa, rng.choice([32, 40, 64])))
         add(0, f"{rng.choice(['md5', 'sha1', 'sha256', 'etag', 'checksum'])}{sign}{quote}", case(of(hexa, rng.choice([32, 40, 64]))), quote)
         add(0, f"{rng.choice(['id', 'uuid', word()])}{sign}{quote}", "-".join(of(hexa, n) for n in (8, 4, 4, 4, 12)), quote)

@@ -371,6 +371,16 @@ def test_secret_forest(spark):
     assert secret_scan.train(secret_scan.labelled(spark, 1).filter("label = 1")) is None
 
 
+def test_assigned_secrets(spark):
+    model = secret_scan.train(secret_scan.labelled(spark))
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzQ8mTv4Lp"
+    rows = [(1, 'my password = "Tr0ub4dor&3" here', "Tr0ub4dor&3"), (2, "pwd: hunter2secret", "hunter2secret"), (3, f"AWS_SECRET_ACCESS_KEY={key}\n", key), (4, f"token={key}==", f"{key}=="), (5, "the password: then", None)]
+    got = secret_scan.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), model).collect()
+    for i, text, want in rows:
+        assert [text[r.start : r.end] for r in got if r.doc_id == i and r.secret] == ([want] if want else [])
+        assert all(r.value_sha256 == sha(text[r.start : r.end]) for r in got if r.doc_id == i)
+
+
 def test_secrets_in_documents(spark, texts):
     got = queries()["op8_secrets"](spark, SF).collect()
     found = {(r.doc_id, r.start) for r in got if r.secret}
