@@ -119,9 +119,16 @@ def labelled(spark: SparkSession, each: int = 120, seed: int = SEED) -> DataFram
     fill = lambda: " ".join(of(string.ascii_lowercase, rng.randint(2, 8)) for _ in range(rng.randint(1, 4)))
     case = lambda s: rng.choice([s, s, s.upper()])
     rows = []
+    paths = random.Random(seed + 1)
 
-    def add(label: int, before: str, value: str, behind: str = "", path: str = "") -> None:
-        rows.append((value, f"{fill()} {before}"[-NEAR:], f"{behind} {fill()}"[:NEAR], path, label))
+    def place(label: int) -> str:
+        """A path; false findings lie among tests, examples and documentation more often than secrets do."""
+        if paths.random() < (0.2 if label else 0.5):
+            return paths.choice(["tests/test_{}.py", "src/test/{}.java", "fixtures/{}.json", "examples/{}.yaml", "docs/{}.md", "mocks/{}.js"]).format(paths.choice(NAMES))
+        return paths.choice(["src/{}.py", "config/{}.yaml", ".env", "deploy/{}.sh", "lib/{}.js", "settings/{}.ini", ""]).format(paths.choice(NAMES))
+
+    def add(label: int, before: str, value: str, behind: str = "") -> None:
+        rows.append((value, f"{fill()} {before}"[-NEAR:], f"{behind} {fill()}"[:NEAR], place(label), label))
 
     for _ in range(each):
         cue, quote, sign = rng.choice(CUES), rng.choice("\"'"), rng.choice([" = ", "=", ": "])

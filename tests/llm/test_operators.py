@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from brookline.llm import bpe, components, exact_dedup, langid, mixing, near_texts, pii, secret_scan, simhash, spotsigs, token_files, toxicity
@@ -381,6 +382,15 @@ def test_assigned_secrets(spark):
         assert all(r.value_sha256 == sha(text[r.start : r.end]) for r in got if r.doc_id == i)
 
 
+def test_paths_change_scores(spark):
+    model = secret_scan.train(secret_scan.labelled(spark))
+    other = secret_scan.labelled(spark, 30, seed=5).drop("path")
+    both = other.withColumn("path", F.explode(F.array(F.lit("src/app.py"), F.lit("tests/test_app.py"))))
+    rows = model.transform(secret_scan.features(both, "value", "before", "behind", "path"))
+    got = dict(rows.groupBy("path").agg(F.avg(vector_to_array("_bl_p")[1])).collect())
+    assert got["src/app.py"] > got["tests/test_app.py"]
+
+
 def test_secrets_in_documents(spark, texts):
     got = queries()["op8_secrets"](spark, SF).collect()
     found = {(r.doc_id, r.start) for r in got if r.secret}
