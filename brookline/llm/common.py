@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..plans import shipping
 
-__all__ = ["BROADCAST_ROWS", "bitmap_filter", "bounded_sample", "clean", "cut", "in_bitmap", "own_dir", "running_sum", "shared_dir", "ship", "small_side", "table", "written"]
+__all__ = ["BROADCAST_ROWS", "bitmap_bits", "bitmap_filter", "bounded_sample", "clean", "cut", "in_bitmap", "own_dir", "running_sum", "shared_dir", "ship", "small_side", "table", "without", "written"]
 
 #: Rows that a broadcast side may have: narrow rows of some tens of bytes, so
 #: tens of MB at most.  Beyond it the same join runs as a shuffle join.
@@ -42,8 +42,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``.  Only where that is unset (a
-    local test session) is a temporary folder made, and set for the session.
+    It is the session's ``spark.checkpoint.dir``.  Only where that is unset in a
+    local session is a temporary folder made, and set for the session; on a
+    cluster executors would not see it, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -53,6 +54,8 @@ def shared_dir(spark: SparkSession) -> str:
         return found
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="brookline-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -62,10 +65,20 @@ def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/brookline/{spark.sparkContext.applicationId}"
 
 
-def clean(spark: SparkSession) -> None:
-    """Deletes this application's intermediate tables; results that aren't run yet are lost with them."""
+def clean(spark: SparkSession, but: DataFrame | None = None) -> None:
+    """Deletes this application's intermediate tables; results that aren't run yet are lost with them.
+
+    Tables that ``but`` reads stay.
+    """
     path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if but is None:
+        system.delete(path, True)
+        return
+    read = but.inputFiles()
+    for found in system.listStatus(path) if system.exists(path) else ():
+        if not any(f"/{found.getPath().getName()}/" in f for f in read):
+            system.delete(found.getPath(), True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -109,11 +122,17 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return few.orderBy(order, *(F.col(c) for c in df.columns)).limit(rows)
 
 
+def bitmap_bits(count: int) -> int:
+    """The bits of a bitmap for ``count`` keys: 16 slots for each, 8 MB at most."""
+    return min(26, max(16, (16 * count).bit_length()))
+
+
 def bitmap_filter(keys: DataFrame, key: Column, bits: int = 22) -> DataFrame:
     """Which of ``2**bits`` slots the hashed ``key`` values of ``keys`` occupy.
 
     Rows ``(_bl_slot, _bl_map)`` of 4 KB each, ``2**(bits - 15)`` at most: 0.5 MB
-    for 22 bits, whatever the input, and therefore safe to broadcast.
+    for 22 bits, 8 MB for the most that `bitmap_bits` gives, whatever the input, and
+    therefore safe to broadcast.
     """
     slot = F.pmod(F.xxhash64(key), F.lit(1 << bits))
     return (
@@ -134,6 +153,24 @@ def in_bitmap(df: DataFrame, key: Column, bitmap: DataFrame, name: str, bits: in
     return df.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_bl_s", "_bl_slot", "_bl_map")
 
 
+def without(docs: DataFrame, gone: DataFrame, id_col: str, tie: Column) -> DataFrame:
+    """The rows of ``docs`` whose id and ``tie`` (a hash of the text) aren't in ``gone``.
+
+    ``gone`` has distinct ``(_bl_gid, _bl_gtie)`` rows and is cheap to read again.  Up to
+    `BROADCAST_ROWS` it is broadcast; beyond, a bitmap lets through what is surely not in
+    it, so that only the texts of rows that are to go, and few others, are shuffled.
+    """
+    count = gone.count()
+    same = F.col("_bl_did").eqNullSafe(F.col("_bl_gid")) & (F.col("_bl_tie") == F.col("_bl_gtie"))
+    rows = docs.select("*", F.col(id_col).alias("_bl_did"), tie.alias("_bl_tie"))
+    if count <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(gone), same, "left_anti").select(*docs.columns)
+    bits = bitmap_bits(count)
+    rows = in_bitmap(rows, F.col("_bl_tie"), cut(bitmap_filter(gone, F.col("_bl_gtie"), bits)), "_bl_maybe", bits)
+    stay = rows.filter("not _bl_maybe").select(*docs.columns)
+    return stay.unionByName(rows.filter("_bl_maybe").join(gone, same, "left_anti").select(*docs.columns))
+
+
 def running_sum(df: DataFrame, group: list[str], coarse: str, fine: str, order: list, value: str, out: str) -> DataFrame:
     """``df`` with ``out``: the inclusive running sum of ``value`` per ``group``.
 

@@ -4,7 +4,9 @@ Embeddings, filters of several widths, the maximum of each filter over the whole
 sequence, and a softmax.  Sequences lie one after the other in one flat array,
 with padding between them (id 0, whose embedding stays zero), so that a batch is
 one matrix product and a sequence may have any length.  Training follows the
-gradient through the position of each maximum only.
+gradient through the position of each maximum only, so over long sequences embeddings
+should begin small (``scale``): what is learned of an id then soon outweighs the chance
+values of all others, and the maxima move to telling ids.
 """
 
 from __future__ import annotations
@@ -16,33 +18,21 @@ AT_ONCE = 1 << 15
 
 
 class ConvNet:
-    def __init__(self, vocab: int, classes: int, embed: int = 8, widths=(2, 3, 4), filters: int = 16, stride: int = 1, seed: int = 7):
+    def __init__(self, vocab: int, classes: int, embed: int = 8, widths=(2, 3, 4), filters: int = 16, stride: int = 1, scale: float = 0.3, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.embed, self.stride, self.width = embed, stride, max(widths)
-        self.table = rng.normal(0, 0.3, (vocab, embed)).astype(np.float32)
+        self.table = rng.normal(0, scale, (vocab, embed)).astype(np.float32)
         self.table[0] = 0
         k, n = self.width * embed, len(widths) * filters
         self.mask = np.zeros((k, n), np.float32)
         for i, w in enumerate(widths):
             self.mask[: w * embed, i * filters : (i + 1) * filters] = 1
-        scale = np.sqrt(2 / (np.repeat(widths, filters) * embed * 0.1))
-        self.kernel = (rng.normal(0, 0.3, (k, n)) * scale).astype(np.float32) * self.mask
+        spread = np.sqrt(2 / (np.repeat(widths, filters) * embed * 0.1))
+        self.kernel = (rng.normal(0, 0.3, (k, n)) * spread).astype(np.float32) * self.mask
         self.bias = np.zeros(n, np.float32)
         self.out = rng.normal(0, np.sqrt(1 / n), (n, classes)).astype(np.float32)
         self.shift = np.zeros(classes, np.float32)
 
-    def prime(self, values: np.ndarray) -> None:
-        """Starts from what is known of each id alone: a value, in the first place of its embedding.
-
-        Half of the filters begin by reading that place at their first position,
-        so that the maxima fall on telling ids from the first step on.
-        """
-        self.table *= 0.3
-        self.table[:, 0] = values
-        self.table[0] = 0
-        self.kernel *= 0.3
-        self.kernel[0, ::2] += 1
-
     def windows(self, flat: np.ndarray) -> np.ndarray:
         """The embedded ids from each position on; ``width - 1`` fewer than ``flat`` has."""
         rows = self.table.take(flat, axis=0)
@@ -54,13 +44,14 @@ class ConvNet:
     def join(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """The flat array of sequences, and where each begins, in strides.
 
-        A sequence has one position at least; the array ends with padding.
+        A sequence has one position at least, and padding before it, as wide as a filter
+        can reach: a window over the end of one sequence never sees the next.
         """
         sizes = np.array([max(1, len(s)) for s in sequences])
         room = -(-(sizes + self.width - 1) // self.stride) * self.stride
         ends = np.cumsum(room)
         flat = np.zeros(int(ends[-1]) + self.width, sequences[0].dtype)
-        for s, a in zip(sequences, (ends - room).tolist()):
+        for s, a in zip(sequences, (ends - room + self.width - 1).tolist()):
             flat[a : a + len(s)] = s
         return flat, (ends - room) // self.stride
 
@@ -80,8 +71,12 @@ class ConvNet:
     def logits(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return np.maximum(self.pooled(flat, starts) + self.bias, 0) @ self.out + self.shift
 
-    def fit(self, sequences: list[np.ndarray], labels: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.02, decay: float = 1e-4, drop: float = 0.2, seed: int = 11) -> ConvNet:
-        """Adagrad on the cross entropy; ``drop`` of the pooled values are left out at random."""
+    def fit(self, sequences: list[np.ndarray], labels: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.02, decay: float = 1e-4, drop: float = 0.2, hide: float = 0.0, seed: int = 11) -> ConvNet:
+        """Adagrad on the cross entropy.
+
+        ``drop`` of the pooled values, and ``hide`` of the ids, are left out at random; the
+        latter lets other ids than the most telling one of a sequence be learned.
+        """
         rng = np.random.default_rng(seed)
         classes = np.eye(self.out.shape[1], dtype=np.float32)
         names = ("table", "kernel", "bias", "out", "shift")
@@ -92,6 +87,8 @@ class ConvNet:
             for a in range(0, len(order), batch):
                 some = order[a : a + batch]
                 flat, starts = self.join([sequences[i] for i in some])
+                if hide:
+                    flat[rng.random(len(flat)) < hide] = 0
                 x = self.windows(flat)
                 z = x @ self.kernel
                 cuts = np.append(starts, (len(flat) - self.width) // self.stride)

@@ -2,12 +2,14 @@
 
 The network sees windows of 256 UTF-8 bytes, has filters of several widths with a
 maximum over the window and a softmax over the learned languages, and is trained
-in numpy on the driver, on windows from a bounded sample of labelled rows.
+in numpy on the driver, on all windows of the texts of a bounded sample of labelled
+rows, of each language as many as of any other, if it has them.
 Prediction cuts every whole text into such windows, one after the other, and
 averages their log-probabilities by length.
 
-Scale: the sample (``sample`` rows, three windows each) is the only data that
-the driver sees, and does not grow.  The model (some 20 KB) travels with the
+Scale: the sample (``sample`` rows, some ``most`` bytes in all: fewer rows where texts
+are long) is the only data that the driver sees, beside a count for each language,
+and does not grow.  The model (some 20 KB) travels with the
 function; prediction is one narrow Arrow pass without a shuffle.
 
 Nulls and short texts: a null text, and one without a letter, is ``und`` with
@@ -25,13 +27,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, ship
+from .common import ship
 from .convnet import ConvNet, softmax
 
 WINDOW = 256
-#: Labelled rows that training uses at most.
-SAMPLE = 3000
-WIDTHS, FILTERS, EMBED, STRIDE = (3, 4, 5), 16, 8, 2
+#: Labelled rows that training uses at most, and bytes in all, about.
+SAMPLE, MOST = 2000, 4_000_000
+#: Windows that training goes through in all, about.
+VISITS = 60_000
+WIDTHS, FILTERS, EMBED = (3, 4, 5), 16, 8
 
 
 def held_out(id_col: str) -> Column:
@@ -50,30 +54,31 @@ def windows(texts: list[bytes], size: int = WINDOW) -> tuple[list[np.ndarray], n
     return parts, np.array(owner)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> tuple[list[str], ConvNet] | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, most: int = MOST) -> tuple[list[str], ConvNet] | None:
     """Learned languages and network, from rows that aren't held out; None without such rows.
 
-    The sample is the ``sample`` rows with the smallest hashes of their ids, so it
-    depends on the table only.  Training takes three windows from each text.
+    The sample has the rows with the smallest hashes of their ids, language by language,
+    so it depends on the table only.
     """
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
+    known = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(text_col).rlike(r"\p{L}"))
     known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    n = F.length("text")
-    spots = F.array(F.lit(0), F.greatest(F.lit(0), n / 2 - WINDOW / 2).cast("int"), F.greatest(F.lit(0), n - WINDOW))
-    parts = F.transform(spots, lambda p: F.substring(F.col("text"), p + 1, F.lit(WINDOW)))
-    found = bounded_sample(known.select("id", "lang", parts.alias("parts")), "id", sample).select("lang", "parts").collect()
-    found = [r for r in found if r["parts"] and any(map(str.isalpha, "".join(r["parts"])))]
-    if not found:
+    counts = {r["lang"]: (r["n"], r["b"]) for r in known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()}
+    if not counts:
         return None
-    langs = sorted({r["lang"] for r in found})
+    langs = sorted(counts)
+    each = min(sample / len(langs), most / sum(b / n for n, b in counts.values()))
+    order = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 40))
+    # So much of the hash range holds about ``each`` rows of a language, and at least one as a rule.
+    share = lambda n: min(1.0, (each + 2 * each**0.5 + 2) / n)
+    ends = known.sparkSession.createDataFrame([(k, int(share(n) * (1 << 40))) for k, (n, _) in counts.items()], "lang string, end long")
+    found = known.join(F.broadcast(ends), "lang").filter(order <= F.col("end")).orderBy(order, "id", "text").limit(2 * sample + 4 * len(langs))
     texts, labels = [], []
-    for r in found:
-        for part in dict.fromkeys(r["parts"]):
-            texts.append(np.frombuffer(part.encode()[:WINDOW], np.uint8))
-            labels.append(langs.index(r["lang"]))
-    net = ConvNet(256, len(langs), EMBED, WIDTHS, FILTERS, STRIDE)
-    epochs = max(3, min(40, 30_000 // len(texts)))
-    return langs, net.fit(texts, np.array(labels), epochs=epochs)
+    for r in found.select("lang", "text").collect():
+        parts, _ = windows([r["text"].encode()])
+        texts += parts
+        labels += [langs.index(r["lang"])] * len(parts)
+    net = ConvNet(256, len(langs), EMBED, WIDTHS, FILTERS)
+    return langs, net.fit(texts, np.array(labels), epochs=max(2, min(40, VISITS // len(texts))))
 
 
 def predict(docs: DataFrame, model: tuple[list[str], ConvNet] | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

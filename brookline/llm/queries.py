@@ -44,9 +44,13 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 with d as (
-  select doc_id, source, md5('mix:' || coalesce(doc_id::varchar, '')) h,
-         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size
-  from documents),
+  select doc_id, source, size, case when i = 0 then h else md5(h || ':' || i) end h
+  from (
+    select *, row_number() over (partition by source, h) - 1 i
+    from (
+      select doc_id, source, md5('mix:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) h,
+             len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size
+      from documents))),
 p as (select source, sum(size)::bigint total from d group by source),
 n as (select source, total, row_number() over (order by source nulls last) - 1 s from p),
 w as (select source, total, s, case s % 3 when 0 then 5 when 1 then 2 else 1 end w, total * 2 cap from n),
@@ -60,8 +64,8 @@ o as (
 t as (select source, total, s, case when opened is null then cap::double else w * opened end target from o),
 r as (
   select d.doc_id, d.size, d.h, t.s, t.total, t.target,
-         row_number() over (partition by t.s order by d.h, d.doc_id, d.size) k,
-         sum(d.size) over (partition by t.s order by d.h, d.doc_id, d.size rows unbounded preceding)::bigint cum
+         row_number() over (partition by t.s order by d.h) k,
+         sum(d.size) over (partition by t.s order by d.h rows unbounded preceding)::bigint cum
   from d join t on d.source is not distinct from t.source),
 x as (
   select r.*, e, case when target > 0 then (cum + total * e)::double / target else 0.0::double end vt

@@ -13,6 +13,8 @@ pair is dropped once they exceed the budget, and otherwise the node that branche
 first is replaced by its children.  Pairs whose leaves are in one component
 already are dropped too.  Budgets are tried from 1 up, so that a dense group of
 near copies is one component before its many pairs at larger distances come up.
+A group that more than `HOT` fingerprints are in is dealt out again by blocks of the
+other bits, as two of them agree in one of these too.
 
 Scale: rows in shuffles are a fingerprint and an id (16 bytes).  Equal texts and
 equal fingerprints are one leaf, so thousands of copies weigh as one.  A task of
@@ -33,15 +35,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship, small_side, written
+from .common import cut, ship, small_side, without, written
 from .components import components
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of a shingle, and bits that linked fingerprints may differ in.
 SHINGLE, BUDGET = 3, 3
-#: Fingerprints that one task of the self-join gets, about.
-PER_TASK = 500_000
+#: Fingerprints that one task of the self-join gets, about; those of a group from which it is split again.
+PER_TASK, HOT = 500_000, 200_000
 #: Node pairs that are taken one level on at once.
 PAIRS = 1 << 20
 
@@ -68,22 +70,25 @@ def majority(hashes: np.ndarray) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
-    """``(id, fingerprint long)`` of every whole text."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, tie: Column | None = None) -> DataFrame:
+    """``(id, fingerprint long)`` of every whole text; with ``tie``, ``(_bl_id, text_hash, fingerprint)``."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column(1)  # offsets and values are used where they are
+            rows = batch.column(batch.num_columns - 1)  # offsets and values are used where they are
             offsets, values = rows.offsets.to_numpy(), rows.values.to_numpy(zero_copy_only=False)
             found = [majority(values[p:q]) for p, q in zip(offsets.tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], [id_col, "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], names)
 
     ship(docs.sparkSession)
     found, hashes = shingle_hashes(F.col("_bl_t"), words)
-    rows = docs.select(F.col(id_col).alias("_bl_id"), F.col(text_col).alias("_bl_t"))
-    rows = rows.select("_bl_id", found.alias("_bl_w")).select("_bl_id", hashes.alias("_bl_h"))
+    more = [] if tie is None else [tie.alias("text_hash")]
+    rows = docs.select(F.col(id_col).alias("_bl_id"), *more, F.col(text_col).alias("_bl_t"))
+    first = rows.columns[:-1]
+    rows = rows.select(*first, found.alias("_bl_w")).select(*first, hashes.alias("_bl_h"))
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(bits, f"`{id_col}` {kind}, fingerprint long")
+    names = [id_col, "fingerprint"] if tie is None else [*first, "fingerprint"]
+    return rows.mapInArrow(bits, f"`{names[0]}` {kind}, {'' if tie is None else 'text_hash long, '}fingerprint long")
 
 
 class Tries:
@@ -198,36 +203,45 @@ def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
-def links(values: DataFrame, column: str, budget: int = BUDGET, per_task: int = PER_TASK) -> DataFrame:
+def links(values: DataFrame, column: str, budget: int = BUDGET, per_task: int = PER_TASK, hot: int = HOT) -> DataFrame:
     """Edges ``(a, b)`` that connect distinct ``values`` at up to ``budget`` bits.
 
     A spanning forest of each group of each block: the components of all edges
-    are those of all links.
+    are those of all links.  A group of more than ``hot`` values is split again, by
+    blocks of the bits that are left.
     """
     spark = values.sparkSession
     ship(spark)
     blocks = budget + 1
-    cuts = [64 * k // blocks for k in range(blocks + 1)]
+    masks = block_masks(range(64), blocks)
     value = F.col(column)
-    parts = [F.shiftrightunsigned(F.shiftleft(value, a), 64 - b + a) for a, b in zip(cuts, cuts[1:])]
-    rows = values.select(F.posexplode(F.array(*parts)).alias("block", "part"), value.alias("value"))
+    rows = values.select(F.posexplode(F.array(*(value.bitwiseAND(F.lit(m)) for m in masks))).alias("block", "part"), value.alias("value"))
     asked = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(asked, -(-values.count() * blocks // per_task))
-    rows = rows.repartition(tasks, "block", "part")
+    large = cut(rows.groupBy("block", "part").count().filter(F.col("count") > hot).select("block", "part"))
+    few = F.xxhash64("block", "part")
+    if large.isEmpty():
+        rows = rows.select(few.alias("group"), "value")
+    else:
+        again = {k: block_masks([b for b in range(64) if not bit(masks[k], b)], blocks) for k in range(blocks)}
+        sub = lambda k: F.array(*(F.xxhash64("block", "part", F.lit(i), F.col("value").bitwiseAND(F.lit(m))) for i, m in enumerate(again[k])))
+        split = F.coalesce(*(F.when(F.col("block") == k, sub(k)) for k in range(blocks)))
+        rows = rows.join(small_side(large.withColumn("large", F.lit(True))), ["block", "part"], "left")
+        rows = rows.select(F.explode(F.when(F.col("large"), split).otherwise(F.array(few))).alias("group"), "value")
+    rows = rows.repartition(tasks, "group")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [[], [], []]
+        columns = [[], []]
         for batch in batches:
-            for k in range(3):
+            for k in range(2):
                 columns[k].append(batch.column(k).to_numpy(zero_copy_only=False))
         if not columns[0]:
             return
-        block, part, own = map(np.concatenate, columns)
+        group, own = map(np.concatenate, columns)
         own = own.astype(np.int64).view(np.uint64)
-        order = np.lexsort((own, part, block))
-        block, part, own = block[order], part[order], own[order]
-        new = np.append(True, (block[1:] != block[:-1]) | (part[1:] != part[:-1]))
-        label = Tries(own, np.flatnonzero(new)).link(budget)
+        order = np.lexsort((own, group))
+        group, own = group[order], own[order]
+        label = Tries(own, np.flatnonzero(np.append(True, group[1:] != group[:-1]))).link(budget)
         at = np.flatnonzero(label != np.arange(len(label)))
         signed = own.view(np.int64)
         for k in range(0, len(at), 1 << 16):
@@ -237,16 +251,33 @@ def links(values: DataFrame, column: str, budget: int = BUDGET, per_task: int =
     return rows.mapInArrow(join, "a long, b long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """``(id, fingerprint long, component_id)`` for every row: the smallest id that links reach."""
-    rows = written(fingerprints(docs, id_col, text_col, words), "simhash")
-    leaves = cut(rows.groupBy("fingerprint").agg(F.min(id_col).alias("_bl_min")))
+def bit(mask: int, b: int) -> bool:
+    return bool(mask >> b & 1)
+
+
+def block_masks(bits, blocks: int) -> list[int]:
+    """``bits`` cut to blocks, each as a signed 64-bit mask."""
+    bits = list(bits)
+    cuts = [len(bits) * k // blocks for k in range(blocks + 1)]
+    masks = [sum(1 << b for b in bits[a:b_]) for a, b_ in zip(cuts, cuts[1:])]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+    """``(_bl_id, text_hash, fingerprint, root, component_id)`` for every row; ``root`` names the component."""
+    rows = written(fingerprints(docs, id_col, text_col, words, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))), "simhash")
+    leaves = cut(rows.groupBy("fingerprint").agg(F.min("_bl_id").alias("_bl_min")))
     roots = components(links(leaves, "fingerprint", budget), "a", "b")
     leaves = leaves.join(roots, leaves["fingerprint"] == roots["node"], "left")
-    leaves = cut(leaves.select("fingerprint", "_bl_min", F.coalesce("root", "fingerprint").alias("_bl_root")))
-    ids = leaves.groupBy("_bl_root").agg(F.min("_bl_min").alias("component_id"))
-    leaves = leaves.join(ids, "_bl_root").select("fingerprint", "component_id")
-    return rows.join(leaves, "fingerprint").select(id_col, "fingerprint", "component_id")
+    leaves = cut(leaves.select("fingerprint", "_bl_min", F.coalesce("root", "fingerprint").alias("root")))
+    ids = leaves.groupBy("root").agg(F.min("_bl_min").alias("component_id"))
+    leaves = leaves.join(ids, "root").select("fingerprint", "root", "component_id")
+    return rows.join(leaves, "fingerprint").select("_bl_id", "text_hash", "fingerprint", "root", "component_id")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+    """``(id, fingerprint long, component_id)`` for every row: the smallest id that links reach."""
+    return near_rows(docs, id_col, text_col, words, budget).select(F.col("_bl_id").alias(id_col), "fingerprint", "component_id")
 
 
 def hex_fingerprint(column: str = "fingerprint") -> Column:
@@ -255,22 +286,31 @@ def hex_fingerprint(column: str = "fingerprint") -> Column:
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """``docs`` with the document of smallest id of each component, columns as they were.
+    """``docs`` with one row of each component, columns as they were; see `keep_first`."""
+    return keep_first(docs, near_rows(docs, id_col, text_col, words, budget), id_col, text_col)
 
-    Of rows with that id, all of which are in the component, the first by text
-    stays; rows without an id are never dropped.
-    """
-    return keep_first(docs, near_groups(docs, id_col, text_col, words, budget), id_col)
 
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the row of smallest id of each component, columns as they were.
 
-def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """`drop_near_copies` for ``groups`` with ``(id, component_id)`` for every row of ``docs``."""
-    groups = written(groups, "near")
-    gone = groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_bl_id")).distinct()
-    gone = written(gone, "near-gone")
-    kept = docs.join(small_side(gone), docs[id_col] == F.col("_bl_id"), "left_anti")
-    again = cut(groups.filter(f"`{id_col}` = component_id").groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("_bl_id")))
+    ``groups`` has ``(_bl_id, text_hash, root)`` for every row.  Null ids come last; of rows
+    with equal ids the one with the smallest text hash stays, of rows equal in both any one.
+    Rows are judged by id and text, so an id that also stands on a text of another
+    component is judged there for itself.
+    """
+    rank = F.struct(F.col("_bl_id").isNull().alias("z"), F.col("_bl_id").alias("i"), F.col("text_hash").alias("h"))
+    groups = written(groups.select("root", "_bl_id", "text_hash", rank.alias("rank")), "near")
+    best = groups.groupBy("root").agg(F.min("rank").alias("best"), F.count("*").alias("count")).filter("count > 1").select("root", "best")
+    best = cut(best)
+    judged = groups.join(small_side(best), "root")
+    gone = written(judged.filter("rank <> best").select(F.col("_bl_id").alias("_bl_gid"), F.col("text_hash").alias("_bl_gtie")).distinct(), "near-gone")
+    text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    kept = without(docs, gone, id_col, text)
+    again = judged.filter("rank = best").groupBy("_bl_id", "text_hash").count().filter("count > 1")
+    again = written(again.select(F.col("_bl_id").alias("_bl_gid"), F.col("text_hash").alias("_bl_gtie")), "near-again")
     if again.isEmpty():
         return kept
-    first = kept.join(small_side(again), kept[id_col] == F.col("_bl_id"), "left_semi").dropDuplicates([id_col])
-    return kept.join(small_side(again), kept[id_col] == F.col("_bl_id"), "left_anti").unionByName(first)
+    same = F.col(id_col).eqNullSafe(F.col("_bl_gid")) & (text == F.col("_bl_gtie"))
+    # Partial aggregation leaves one row of each task, so a row repeated very often is no hot key.
+    one = kept.join(small_side(again), same).groupBy("_bl_gid", "_bl_gtie").agg(F.first(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return without(kept, again, id_col, text).unionByName(one)

@@ -9,22 +9,24 @@ all words of one selector decoded, at once in numpy.
 
 A record is one such sequence with the documents it holds:
 
-    "S8B1", documents, ids, blocks, words       4 bytes, 4 x uint64
+    "S8B2", documents, ids, blocks, words       4 bytes, 4 x uint64
     document ids, ids per document              int64, uint64 each
+    which document ids are null                 a bit for each, to whole bytes
     offsets of blocks in words                  uint64, blocks + 1 of them
     words                                       uint64
 
-all little-endian.  Null document ids are written as the smallest int64.  Records
+all little-endian.  Records
 are kept in ascending order in a binary column of Parquet files, the one kind of
 file that Spark writes to and reads from any store; a record's place is the
 number of its part and its number in the part.
 
-Scale: texts are shuffled once, by ranges of the document id, and encoded after
+Scale: texts are shuffled once, by ranges of the document id and a hash of the text
+(so that equal ids, or nulls, are more than one range), and encoded after
 it, so that ids are never shuffled.  Parts are independent; what joins them is one
 row per part (the ids before it), bounded by the number of tasks.
 
 Nulls, ties, repeats: a null text counts as empty and gets just the end id; null
-document ids come first; equal document ids are in the order of their texts.
+document ids come first; equal document ids are in the order of their texts' hashes.
 """
 
 from __future__ import annotations
@@ -50,7 +52,6 @@ WIDTH = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0])
 #: From the fewest ids per word to the most.
 ORDER = [14, 13, 12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1, 15]
 HEAD = struct.Struct("<4s4Q")
-NO_ID = -(1 << 63)
 #: Ids that end a record; a document is never split.
 RECORD_IDS = 1 << 17
 
@@ -152,22 +153,23 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def record(docs: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
+def record(docs: np.ndarray, nulls: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
     words, offsets = pack(ids)
-    head = HEAD.pack(b"S8B1", len(docs), len(ids), len(offsets) - 1, len(words))
-    return b"".join([head, docs.astype("<i8").tobytes(), counts.astype("<u8").tobytes(), offsets.astype("<u8").tobytes(), words.astype("<u8").tobytes()])
+    head = HEAD.pack(b"S8B2", len(docs), len(ids), len(offsets) - 1, len(words))
+    return b"".join([head, docs.astype("<i8").tobytes(), counts.astype("<u8").tobytes(), np.packbits(nulls).tobytes(), offsets.astype("<u8").tobytes(), words.astype("<u8").tobytes()])
 
 
-def parse(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(document ids, ids per document, ids)`` of a record."""
+def parse(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(document ids, which of them are null, ids per document, ids)`` of a record."""
     magic, docs, n, blocks, words = HEAD.unpack_from(data)
-    if magic != b"S8B1":
+    if magic != b"S8B2":
         raise ValueError("not a token record")
     at, parts = HEAD.size, []
-    for size, kind in ((docs, "<i8"), (docs, "<u8"), (blocks + 1, "<u8"), (words, "<u8")):
+    for size, kind in ((docs, "<i8"), (docs, "<u8"), (-(-docs // 8), "u1"), (blocks + 1, "<u8"), (words, "<u8")):
         parts.append(np.frombuffer(data, kind, size, at))
-        at += 8 * size
-    return parts[0], parts[1].astype(np.int64), unpack(parts[3], parts[2], n)
+        at += parts[-1].nbytes
+    nulls = np.unpackbits(parts[2], count=docs).astype(bool)
+    return parts[0], nulls, parts[1].astype(np.int64), unpack(parts[4], parts[3], n)
 
 
 def write_tokens(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, record_ids: int = RECORD_IDS) -> None:
@@ -175,7 +177,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
     ship(docs.sparkSession)
     source = bpe.vocabulary(vocabulary)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
     end = np.array([end_id], np.uint32)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +188,8 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
         def flush() -> pa.RecordBatch:
             nonlocal block, before, size
             ids = np.concatenate(held)
-            data = record(np.array(docs, np.int64), np.array(counts, np.int64), ids)
+            keys = np.array([d or 0 for d in docs], np.int64)
+            data = record(keys, np.array([d is None for d in docs]), np.array(counts, np.int64), ids)
             out = pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())],
                 ["part", "record", "before", "n_ids", "data"],
@@ -197,8 +200,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
 
         parts = (batch.slice(k, bpe.ROWS) for batch in batches for k in range(0, batch.num_rows, bpe.ROWS))
         for part_rows in parts:
-            keys = [NO_ID if i is None else i for i in part_rows.column(0).to_pylist()]
-            for key, ids in zip(keys, own.encode_texts(part_rows.column(1).to_pylist())):
+            for key, ids in zip(part_rows.column(0).to_pylist(), own.encode_texts(part_rows.column(1).to_pylist())):
                 docs.append(key)
                 counts.append(len(ids) + 1)
                 held.append(ids)
@@ -231,7 +233,7 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                docs, counts, ids = parse(data.as_py())
+                docs, nulls, counts, ids = parse(data.as_py())
                 ends = np.cumsum(counts)
                 starts = ends - counts
                 if digest:
@@ -239,7 +241,7 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
                     values = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
                 else:
                     values = [ids[a:b].astype(np.int64) for a, b in zip(starts.tolist(), ends.tolist())]
-                keys = pa.array(docs, pa.int64(), mask=docs == NO_ID)
+                keys = pa.array(docs, pa.int64(), mask=nulls)
                 yield pa.RecordBatch.from_arrays([keys, pa.array(starts + start), pa.array(counts), pa.array(values, kind)], ["doc_id", "start", "n_tokens", name])
 
     return rows.mapInArrow(decode, f"doc_id long, start long, n_tokens long, {name} {'long' if digest else 'array<long>'}")

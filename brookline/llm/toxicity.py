@@ -2,15 +2,15 @@
 
 Words (runs of letters, lower-cased) are hashed to buckets in Spark; filters over
 one, two and three words, the maximum of each over the whole text, and a softmax
-give a log-odds.  It is trained in numpy on the driver, on a bounded sample of
-labelled rows.  A bucket that fewer than ``RARE`` of these texts have is unknown,
+give a log-odds.  Embeddings, filters and output are trained together in numpy on the
+driver, on the whole texts of a bounded sample of labelled rows.  A bucket that fewer than ``RARE`` of these texts have is unknown,
 so that a text can't be learned by heart.  A third of the sample is set aside to
 calibrate a threshold for each language; a text's language is read off its common
 words, never given.  The score is shifted so that its language's threshold lies
 at ``CUT``.
 
-Scale: the driver sees the sample only (``sample`` rows of each label, ``crop``
-words each), which does not grow.  The label side of the join is that sample and
+Scale: the driver sees the sample only (``sample`` rows of each label, and some
+``most`` words in all: fewer rows where texts are long), which does not grow.  The label side of the join is that sample and
 is broadcast.  Scoring is one narrow pass without a shuffle over whole texts.
 
 Nulls and short texts: a null text counts as empty, and an empty text is scored
@@ -28,17 +28,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, ship
+from .common import bounded_sample, cut, ship
 from .common_words import COMMON_WORDS
 from .convnet import ConvNet
 from .langid import held_out
 
 BUCKETS = 1 << 20
-#: Labelled rows of each label, and words of each, that training uses at most.
-SAMPLE, CROP = 4000, 3000
+#: Labelled rows of each label that training uses at most, and words in all, about.
+SAMPLE, MOST = 4000, 8_000_000
 RARE = 3
 CUT = 0.3
-WIDTHS, FILTERS, EMBED = (1, 2, 3), 12, 12
+WIDTHS, FILTERS, EMBED = (1, 2, 3), 16, 12
+#: The size that embeddings begin with, the step of training, and texts that it goes through in all.
+SCALE, RATE, VISITS = 0.01, 0.1, 40_000
+#: The share of words that training hides, and the cases that all languages' threshold weighs as in a language's own.
+HIDE, SHRINK = 0.5, 20
 
 
 def buckets(text: Column) -> Column:
@@ -90,17 +94,7 @@ def best_threshold(odds: np.ndarray, labels: np.ndarray, default: float) -> floa
     return float((above + below) / 2)
 
 
-def telling(texts: list[np.ndarray], y: np.ndarray, use: np.ndarray) -> np.ndarray:
-    """How far each bucket's log-odds of label 1 lies from none, in standard errors."""
-    have = np.zeros((2, BUCKETS))
-    for i in np.flatnonzero(use):
-        have[int(y[i]), np.unique(texts[i])] += 1
-    lack = np.array([[(use & (y == k)).sum()] for k in (0, 1)]) - have
-    odds = np.log((have[1] + 0.5) / (lack[1] + 0.5)) - np.log((have[0] + 0.5) / (lack[0] + 0.5))
-    return odds / np.sqrt((1 / (have + 0.5) + 1 / (lack + 0.5)).sum(0))
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, crop: int = CROP) -> Scorer | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, most: int = MOST) -> Scorer | None:
     """A scorer from labelled rows that aren't held out; None without both labels."""
     spark = docs.sparkSession
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
@@ -108,7 +102,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pick = [bounded_sample(known.filter(f"_bl_y = {y}"), "_bl_id", sample) for y in (0, 1)]
     few = F.broadcast(pick[0].unionByName(pick[1]))  # 2 * sample rows at most
     rows = docs.select(F.col(id_col).alias("_bl_id"), F.col(text_col).alias("_bl_t")).join(few, "_bl_id")
-    rows = rows.select("_bl_id", "_bl_y", F.slice(buckets(F.col("_bl_t")), 1, crop).alias("w"))
+    rows = cut(rows.select("_bl_id", "_bl_y", buckets(F.col("_bl_t")).alias("w")))
+    words = rows.agg(F.sum(F.size("w"))).first()[0] or 0
+    if words > most:
+        rows = rows.filter(F.pmod(F.xxhash64(F.lit("words"), "_bl_id"), F.lit(1 << 40)) < F.lit(int(most / words * (1 << 40))))
     rows = rows.orderBy(F.xxhash64("_bl_id"), "_bl_id", "w").limit(2 * sample).toPandas()
     y = rows["_bl_y"].to_numpy()
     if len(set(y)) < 2:
@@ -130,21 +127,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     cues = np.zeros(BUCKETS, np.int8)
     for r in hashed.collect():
         cues[r["b"]] = r["k"] + 1
-    net = ConvNet(2 + len(often), 2, EMBED, WIDTHS, FILTERS)
-    net.prime(np.append([0, 0], telling(texts, y, ~third)[often] / 4).astype(np.float32))
+    net = ConvNet(2 + len(often), 2, EMBED, WIDTHS, FILTERS, scale=SCALE)
     scorer = Scorer(row_of, net, cues)
     own = np.flatnonzero(~third)
     # Both labels weigh alike: the rarer one is repeated.
     rare = own[y[own] == (y[own].mean() < 0.5)]
     more = np.concatenate([own, *[rare] * max(0, min(8, round((len(own) - len(rare)) / max(1, len(rare))) - 1))])
-    epochs = max(4, min(30, 20_000 // len(more)))
-    net.fit([row_of[texts[i]] for i in more], y[more], epochs=epochs, batch=32)
+    epochs = max(5, min(30, VISITS // len(more)))
+    net.fit([row_of[texts[i]] for i in more], y[more], epochs=epochs, batch=32, rate=RATE, hide=HIDE)
     at = np.flatnonzero(third) if third.any() else own
     held = [texts[i] for i in at]
     odds, langs = scorer.odds(held), np.array([scorer.language(t) for t in held])
     default = best_threshold(odds, y[at], 0.0)
     for k in range(len(scorer.threshold)):
-        scorer.threshold[k] = best_threshold(odds[langs == k], y[at][langs == k], default)
+        own = y[at][langs == k]
+        cases = min(own.sum(), len(own) - own.sum())
+        scorer.threshold[k] = (cases * best_threshold(odds[langs == k], own, default) + SHRINK * default) / (cases + SHRINK)
     return scorer
 
 

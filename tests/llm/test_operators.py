@@ -142,10 +142,38 @@ def test_languages_of_odd_texts(odd, empty, docs):
     got = {r.doc_id: r for r in langid.predict(odd, model).collect()}
     assert {i: got[i].lang_pred for i in (2, 3, 7, 8)} == dict.fromkeys((2, 3, 7, 8), "und")
     assert got[1].lang_pred != "und" and langid.predict(odd, model).count() == len(ODD)
-    assert langid.train(empty) is None
+    assert langid.train(empty) is None and langid.predict(empty, model).count() == 0
     assert {r.lang_pred for r in langid.predict(odd, None).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("stride", [1, 2])
+def test_network_against_loops(stride):
+    from brookline.llm.convnet import ConvNet
+
+    rng = np.random.default_rng(stride)
+    net = ConvNet(50, 3, embed=5, widths=(1, 2, 4), filters=3, stride=stride)
+    net.bias = rng.normal(0, 1, len(net.bias)).astype(np.float32)
+    texts = [rng.integers(0, 50, n) for n in (0, 1, 2, 3, 7, 500, 9000, 1)]
+    got = net.logits(*net.join(texts))
+    for row, text in zip(got, texts):
+        room = -(-(max(1, len(text)) + net.width - 1) // stride) * stride
+        ids = [*[0] * (net.width - 1), *text, *[0] * (2 * net.width + stride)]
+        best = np.full(9, -np.inf)
+        for at in range(0, room, stride):
+            for f in range(9):
+                width = (1, 2, 4)[f // 3]
+                best[f] = max(best[f], sum(float(net.table[ids[at + k]] @ net.kernel[5 * k : 5 * k + 5, f]) for k in range(width)))
+        want = np.maximum(best + net.bias, 0) @ net.out + net.shift
+        assert row == pytest.approx(want, abs=1e-3)
+
+
+def test_sample_bounds(spark, docs):
+    few = langid.train(docs, sample=8, most=10_000)
+    assert few[0] == langid.train(docs)[0]
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    assert toxicity.train(docs, labels, most=5000) is None or toxicity.score(docs, toxicity.train(docs, labels, most=5000)).count() == docs.count()
+
+
 def test_toxicity(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     scorer = toxicity.train(docs, labels)
@@ -158,7 +186,7 @@ def test_toxicity(spark):
 def test_toxicity_of_odd_texts(spark, odd, empty, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     scorer = toxicity.train(docs, labels)
-    assert toxicity.score(odd, scorer).count() == len(ODD)
+    assert toxicity.score(odd, scorer).count() == len(ODD) and toxicity.score(empty, scorer).count() == 0
     assert toxicity.train(empty, labels) is None and toxicity.train(docs, labels.limit(0)) is None
     assert {r.score for r in toxicity.score(odd, None).collect()} == {0.0}
     assert toxicity.drop_toxic(odd, None).columns == odd.columns
@@ -298,6 +326,10 @@ def test_token_files_of_odd_texts(spark, odd, empty, tmp_path, library):
     assert [r.doc_id for r in rows] == sorted((i for i, *_ in ODD), key=lambda i: (i is not None, i))
     assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows)])[:-1].tolist()
     assert next(r.ids for r in rows if r.doc_id == 2) == [2]
+    far = spark.createDataFrame([(-(1 << 63), "a"), (None, "b"), ((1 << 63) - 1, "c"), (None, "b"), (0, "d")], "doc_id long, text string")
+    token_files.write_tokens(far, str(tmp_path / "f"), 2)
+    rows = sorted(token_files.read_tokens(spark, str(tmp_path / "f")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, None, -(1 << 63), 0, (1 << 63) - 1]
     token_files.write_tokens(empty, str(tmp_path / "e"), 2)
     assert token_files.read_tokens(spark, str(tmp_path / "e")).count() == 0
 
@@ -353,6 +385,18 @@ def test_mixed_rows_follow_the_plan(docs):
     assert {i: n for i, n in got.items() if i in plan} == plan
 
 
+def test_mixed_takes_repeated_rows_by_the_plan(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i) if i else None, " ".join(["w"] * int(n)), f"s{i % 3}") for i, n in zip(rng.integers(0, 12, 400), rng.integers(0, 4, 400))]
+    rows += [(77, "one and the same", "s1")] * 300 + [(k, "", "s9") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    plan = mixing.plan(df)
+    assert plan.count() == len(rows) and plan.agg(F.sum("size")).first()[0] == sum(len(t.split()) for _, t, _ in rows)
+    words = {r.source: r.n for r in mixing.mixed(df).groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).collect()}
+    for r in plan.groupBy("source", "target").agg(F.sum(F.col("size") * F.col("passes")).alias("n")).collect():
+        assert words.get(r.source, 0) == r.n and abs(r.n - r.target) <= 2 * 4
+
+
 # 8
 
 
@@ -492,7 +536,7 @@ def test_near_stage_against_brute_force(spark):
     df = spark.createDataFrame(list(made.items()), "doc_id long, text string").repartition(3)
     want = alike_components(made)
     assert len(set(want.values())) < len(want) - 100
-    assert {r.doc_id: r.component_id for r in near_texts.near_groups(df).collect()} == want
+    assert {r["_bl_id"]: r.component_id for r in near_texts.near_rows(df).collect()} == want
     assert sorted(r.doc_id for r in corpus_pipeline.near(spark, df, SF).collect()) == sorted(set(want.values()))
 
 
@@ -505,9 +549,74 @@ def test_near_stage_of_documents(spark):
 
 
 def test_near_texts_of_odd_texts(odd, empty):
-    kept = simhash.keep_first(odd, near_texts.near_groups(odd))
+    kept = near_texts.drop_near_copies(odd)
     assert kept.columns == odd.columns and sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([None, 1, 2, 6, 7, 9], key=repr)
-    assert near_texts.near_groups(empty).count() == 0
+    assert near_texts.near_rows(empty).count() == 0 and near_texts.drop_near_copies(empty).count() == 0
+
+
+def test_crowded_groups(spark):
+    """A large group of edits of one text, and boilerplate that half of all texts are made of."""
+    rng = np.random.default_rng(5)
+    base, made = [f"w{k}" for k in range(120)], {}
+    for i in range(150):
+        words = list(base)
+        for at in rng.integers(0, 120, i % 12):
+            words[at] = f"e{i}x{at}"
+        made[i] = " ".join(words)
+    for i in range(150, 250):
+        made[i] = " ".join([*base[:40], *(f"o{i}x{k}" for k in range(i % 40))])
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string").repartition(5)
+    assert {r["_bl_id"]: r.component_id for r in near_texts.near_rows(df).collect()} == alike_components(made)
+    whole = near_texts.sets(df, "text", 5).groupBy("class").agg(F.first("set").alias("set"))
+    tiles = [components.components(near_texts.crowded_links(whole, 0.8, tile), "a", "b").collect() for tile in (1 << 20, 3000)]
+    assert set(tiles[0]) == set(tiles[1])  # cutting a cluster to tiles changes nothing
+
+
+@pytest.mark.parametrize("hot", [1, 3, 100])
+def test_hot_blocks_are_split(spark, hot):
+    rng = np.random.default_rng(3)
+    values = np.unique(np.concatenate([v ^ (1 << rng.integers(0, 62, 30)) ^ (1 << rng.integers(0, 62, 30)) for v in rng.integers(0, 1 << 62, 8)]))
+    df = spark.createDataFrame([(int(v),) for v in values], "v long")
+    got = {r.node: r.root for r in components.components(simhash.links(df, "v", hot=hot), "a", "b").collect()}
+    near = np.bitwise_count((values[:, None] ^ values[None]).astype(np.uint64)) <= 3
+    label = values
+    while not (label == (new := np.array([label[row].min() for row in near]))).all():
+        label = new
+    assert got == {int(v): int(r) for v, r, n in zip(values, label, near.sum(1)) if n > 1}
+
+
+def test_near_copies_lose_no_other_text(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    df = spark.createDataFrame([(2, a), (5, a), (5, b), (7, b), (7, b), (None, a), (None, b + " c"), (9, None), (9, "")], "doc_id long, text string")
+    for kept in (simhash.drop_near_copies(df), near_texts.drop_near_copies(df)):
+        got = sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=repr)
+        assert got == sorted([(2, a), (5, b), (9, "")], key=repr) or got == sorted([(2, a), (5, b), (9, ""), (None, b + " c")], key=repr)
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    rng = np.random.default_rng(8)
+    bases = [[f"t{n}w{k}" for k in range(60)] for n in range(12)]
+    rows = []
+    for _ in range(150):
+        words = list(bases[rng.integers(0, 12)])
+        words[rng.integers(0, 60)] = rng.choice(["x", "y", words[0]])
+        rows.append((None if rng.random() < 0.2 else int(rng.integers(0, 25)), " ".join(words)))
+    kept = near_texts.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    label = alike_components(dict(enumerate(rows[i][1] for i in range(len(rows)))))
+    first = {}
+    for i, root in label.items():
+        first[root] = min(first.get(root, (True, 0)), (rows[i][0] is None, rows[i][0] or 0))
+    at = {t: label[i] for i, (_, t) in enumerate(rows)}
+    assert sorted(at[r.text] for r in kept) == sorted(first)
+    assert all((r.doc_id is None, r.doc_id or 0) == first[at[r.text]] for r in kept)
+
+
+def test_many_rows_to_drop(spark, monkeypatch):
+    from brookline.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.floor(F.col("id") / 2).cast("string")).alias("text"))
+    assert sorted(r.doc_id for r in exact_dedup.drop_exact_copies(df).collect()) == list(range(1, 2000, 2))
 
 
 # the pipeline
@@ -529,13 +638,23 @@ def test_pipeline(spark, texts):
     for i in sorted(held["toxicity"]):
         want[texts[i]] = i
     assert sorted(held["exact_dedup"]) == sorted(want.values())
-    linked = brute_components({i: brute_fingerprint(texts[i]) for i in held["exact_dedup"]})
+    linked = alike_components({i: texts[i] for i in held["exact_dedup"]})
     assert sorted(held["simhash"]) == sorted(set(linked.values()))
     assert set(held["mix"]) <= set(held["simhash"]) and max(map(held["mix"].count, held["mix"])) <= 2
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert sorted(r.doc_id for r in last) == sorted(held["mix"]) and all(r.decoded_sha256 == sha(texts[r.doc_id]) for r in last)
 
 
+def test_stages_of_odd_rows(spark, odd, empty):
+    import corpus_pipeline
+
+    for rows in (odd, empty):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, rows, SF)
+            assert got.columns == rows.columns and got.count() <= 2 * len(ODD)
+        assert corpus_pipeline.STAGES[-1][1](spark, rows, SF).count() == rows.count()
+
+
 def test_clean(spark, docs):
     from brookline.llm.common import clean, own_dir, written
 
