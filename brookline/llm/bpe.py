@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, tidy
 
 #: Code points with the property White_Space (fixed values).
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -42,7 +42,7 @@ PIECES = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}
 #: follows something else, so such a stretch is cut into pieces on its own.
 STRETCH = re.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Stretches that a worker remembers, at about 60 bytes each.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 ASCII_SPACE = np.frombuffer(b" \t\n\v\f\r", np.uint8)
 #: Multipliers of the hash (odd numbers without pattern), and all bits.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -50,9 +50,9 @@ ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Pairs of tokens whose compatibility is kept in an array: two to this power.
 PAIR_BITS = 21
 #: Rows of a batch that are Python objects at once.
-ROWS = 1000
+ROWS = 200
 #: Code points of text that are encoded at once.
-AT_ONCE = 2_000_000
+AT_ONCE = 400_000
 #: White space other than the blank and the line feed (fixed values).
 OTHER_SPACE = "\t\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -334,7 +334,7 @@ class Library(Stretches):
         self.tokenizer.no_padding()
         spec = json.loads(source)
         super().__init__({t["content"]: t["id"] for t in spec.get("added_tokens", [])})
-        self.lexicon.most *= 2  # there is room for it, without the codec's tables
+        self.lexicon.most *= 4  # there is room for it, without the codec's tables
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
@@ -664,4 +664,4 @@ def round_trip_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_bl_t"))
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(digest, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(tidy(digest), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

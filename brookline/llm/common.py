@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import tempfile
 import uuid
 
@@ -11,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..plans import shipping
 
-__all__ = ["BROADCAST_ROWS", "bitmap_bits", "bitmap_filter", "bounded_sample", "clean", "cut", "in_bitmap", "own_dir", "running_sum", "shared_dir", "ship", "small_side", "table", "without", "written"]
+__all__ = ["BROADCAST_ROWS", "bitmap_bits", "bitmap_filter", "bounded_sample", "clean", "cut", "in_bitmap", "own_dir", "running_sum", "shared_dir", "ship", "small_side", "table", "tidy", "without", "written"]
 
 #: Rows that a broadcast side may have: narrow rows of some tens of bytes, so
 #: tens of MB at most.  Beyond it the same join runs as a shuffle join.
@@ -34,6 +36,30 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set(name, str(ARROW_ROWS))
 
 
+def tidy(function):
+    """``function`` of a task's batches, after which the Python worker gives free memory back.
+
+    Workers live on for later tasks, and would keep what their largest batch took.
+    """
+
+    @functools.wraps(function)
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table ``name`` below ``sf_dir``; any store that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, tidy
 from .convnet import ConvNet, softmax
 
 WINDOW = 256
@@ -87,6 +87,7 @@ def predict(docs: DataFrame, model: tuple[list[str], ConvNet] | None, id_col: st
     packed = pickle.dumps(model)
 
     @F.pandas_udf("lang string, score double")
+    @tidy
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = pickle.loads(packed)
         for texts in batches:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import cut, ship, small_side, written
+from .common import cut, ship, small_side, tidy, written
 from .components import components
 
 #: Words of a shingle, and the least likeness of texts that are near copies.
@@ -94,7 +94,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
     ship(docs.sparkSession)
     rows = _hashes(docs, text_col, words, F.col(id_col).alias("_bl_id"), F.xxhash64(_text(text_col)).alias("text_hash"))
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(first, f"_bl_id {kind}, text_hash long, class long, n int, fingerprint long, keys array<long>")
+    return rows.mapInArrow(tidy(first), f"_bl_id {kind}, text_hash long, class long, n int, fingerprint long, keys array<long>")
 
 
 def sets(docs: DataFrame, text_col: str, words: int) -> DataFrame:
@@ -108,7 +108,7 @@ def sets(docs: DataFrame, text_col: str, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x for _, x in found], pa.int64()), listed([x for x, _ in found])], ["class", "set"])
 
     ship(docs.sparkSession)
-    return _hashes(docs, text_col, words).mapInArrow(whole, "class long, set array<long>")
+    return _hashes(docs, text_col, words).mapInArrow(tidy(whole), "class long, set array<long>")
 
 
 def trie_pairs(classes: DataFrame, budget: int) -> DataFrame:
@@ -215,7 +215,7 @@ def crowded_links(whole: DataFrame, least: float, tile: int = TILE) -> DataFrame
             yield done()
 
     ship(whole.sparkSession)
-    return near.mapInArrow(compare, "a long, b long")
+    return near.mapInArrow(tidy(compare), "a long, b long")
 
 
 def links(rows: DataFrame, docs: DataFrame, text_col: str, words: int, least: float, budget: int) -> DataFrame:

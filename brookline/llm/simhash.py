@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship, small_side, without, written
+from .common import cut, ship, small_side, tidy, without, written
 from .components import components
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.select(*first, found.alias("_bl_w")).select(*first, hashes.alias("_bl_h"))
     kind = rows.schema[0].dataType.simpleString()
     names = [id_col, "fingerprint"] if tie is None else [*first, "fingerprint"]
-    return rows.mapInArrow(bits, f"`{names[0]}` {kind}, {'' if tie is None else 'text_hash long, '}fingerprint long")
+    return rows.mapInArrow(tidy(bits), f"`{names[0]}` {kind}, {'' if tie is None else 'text_hash long, '}fingerprint long")
 
 
 class Tries:
@@ -248,7 +248,7 @@ def links(values: DataFrame, column: str, budget: int = BUDGET, per_task: int =
             some = at[k : k + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(signed[some]), pa.array(signed[label[some]])], ["a", "b"])
 
-    return rows.mapInArrow(join, "a long, b long")
+    return rows.mapInArrow(tidy(join), "a long, b long")
 
 
 def bit(mask: int, b: int) -> bool:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import own_dir, ship
+from .common import own_dir, ship, tidy
 
 BLOCK = 256
 #: Selectors: ids per word, bits per id (fixed values of the format).  0 is the escape.
@@ -211,7 +211,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
         if docs:
             yield flush()
 
-    rows.mapInArrow(encode, "part int, record long, before long, n_ids long, data binary").write.parquet(path)
+    rows.mapInArrow(tidy(encode), "part int, record long, before long, n_ids long, data binary").write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
@@ -244,7 +244,7 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
                 keys = pa.array(docs, pa.int64(), mask=nulls)
                 yield pa.RecordBatch.from_arrays([keys, pa.array(starts + start), pa.array(counts), pa.array(values, kind)], ["doc_id", "start", "n_tokens", name])
 
-    return rows.mapInArrow(decode, f"doc_id long, start long, n_tokens long, {name} {'long' if digest else 'array<long>'}")
+    return rows.mapInArrow(tidy(decode), f"doc_id long, start long, n_tokens long, {name} {'long' if digest else 'array<long>'}")
 
 
 def token_digests(docs: DataFrame, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, path: str | None = None) -> DataFrame:

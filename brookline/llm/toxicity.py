@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut, ship
+from .common import bounded_sample, cut, ship, tidy
 from .common_words import COMMON_WORDS
 from .convnet import ConvNet
 from .langid import held_out
@@ -151,6 +151,7 @@ def score_column(scorer: Scorer | None):
     packed = pickle.dumps(scorer)
 
     @F.pandas_udf("double")
+    @tidy
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = pickle.loads(packed)
         for rows in batches:
