@@ -8,6 +8,7 @@ from .config import CompileConfig, RuntimeConfig
 from .operators.collectors import (
     Collector,
     Found,
+    ListOf,
     MinMax,
     ParallelCollector,
     ShortCircuitingCollector,
@@ -21,13 +22,13 @@ from .operators.collectors import (
     to_list,
     to_set,
 )
-from .operators.inner import generated, items, related
+from .operators.inner import generated, items, related, whole
 from .plans.pipeline import ParallelPipeline, SequentialPipeline, SplittableSource
 from .sources import from_array, from_dataframe, from_generator, from_iterable, from_parquet, from_range, from_rows, from_table, of
 
 __all__ = [
-    "Collector", "CompileConfig", "Found", "MinMax", "ParallelCollector", "ParallelPipeline", "RuntimeConfig", "SequentialPipeline",
+    "Collector", "CompileConfig", "Found", "ListOf", "MinMax", "ParallelCollector", "ParallelPipeline", "RuntimeConfig", "SequentialPipeline",
     "ShortCircuitingCollector", "SplittableSource", "StringJoin", "TakeFirst", "ToMap", "collector", "find_first", "from_array",
     "from_dataframe", "from_generator", "from_iterable", "from_parquet", "from_range", "from_rows", "from_table", "generated", "items",
-    "of", "related", "summing", "to_array", "to_list", "to_set",
+    "of", "related", "summing", "to_array", "to_list", "to_set", "whole",
 ]

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,8 +124,8 @@ class Collector(Terminal):
     ``finisher(buffer)`` the result.  All are functions of columns.
 
     Elements of one column come as its value, others as structs with its columns.
-    The fold sees an array of all elements in source order, so it suits results of
-    bounded input, such as after a limit; combine parts for more.
+    One buffer goes through all elements in source order, `BLOCK` of them at a time, so
+    a long sequence takes many rounds; a `ParallelCollector` takes as many of one chunk.
     """
 
     def supplier(self) -> Column:
@@ -148,12 +149,7 @@ class Collector(Terminal):
                     raise TypeError(f"{type(self).__name__}.{name} must have a concrete inline implementation")
 
     def plan(self, pipeline, runtime):
-        names = pipeline.names
-        element = F.struct(*names) if len(names) > 1 else F.col(names[0])
-        # The struct around an element keeps those that are null.
-        every = F.array_sort(F.collect_list(F.struct(key(pipeline._order).alias("o"), F.struct(element.alias("v")).alias("e"))))
-        fold = F.aggregate(every, self.supplier(), lambda b, x: self.accumulator(b, x["e"]["v"]), self.finisher)
-        return pipeline.rows.agg(fold.alias("value"))
+        return folded(pipeline, RuntimeConfig(1, 1), self.supplier, self.accumulator, None, self.finisher)
 
     def run(self, pipeline, planned):
         return planned().first()[0]
@@ -172,12 +168,18 @@ class ParallelCollector(Collector):
         return folded(pipeline, runtime, self.supplier, self.accumulator, self.combine, self.finisher)
 
 
-def folded(pipeline, runtime: RuntimeConfig, supplier, accumulator, combine, finisher) -> DataFrame:
+#: Elements that a fold holds in one array.
+BLOCK = 1 << 16
+
+
+def folded(pipeline, runtime: RuntimeConfig, supplier, accumulator, combine, finisher, block: int | None = None) -> DataFrame:
     """Chunks of the sequence folded in order, then their buffers from left to right.
 
-    A chunk's elements are in one array; there are as many chunks as the run asks
-    for.  The second fold has one buffer per chunk.
+    There are as many chunks as the run asks for.  A chunk of more than `BLOCK` elements
+    is folded in rounds: in each, every chunk's buffer takes its next block, so that no
+    array is longer.  The second fold has one buffer per chunk.
     """
+    block = block or BLOCK
     rows, order, names = pipeline.rows, pipeline._order, pipeline.names
     if pipeline._indexed is not None and len(order) == 1:
         size, rows = pipeline._indexed, rows.withColumn("__at", F.col(order[0]))
@@ -186,15 +188,43 @@ def folded(pipeline, runtime: RuntimeConfig, supplier, accumulator, combine, fin
     chunks = chunk_count(size, runtime)
     element = F.struct(*names) if len(names) > 1 else F.col(names[0])
     chunk = chunk_of(F.col("__at"), max(size, 1), max(chunks, 1))
-    rows = rows.select(chunk.alias("__chunk"), key(order).alias("o"), F.struct(element.alias("v")).alias("e"))
-    part = F.aggregate(F.array_sort(F.collect_list(F.struct("o", "e"))), supplier(), lambda b, x: accumulator(b, x["e"]["v"]))
-    parts = rows.groupBy("__chunk").agg(part.alias("b"))
+    # The struct around an element keeps those that are null.
+    rows = rows.select(chunk.alias("__chunk"), "__at", key(order).alias("o"), F.struct(element.alias("v")).alias("e"))
+    every = F.array_sort(F.collect_list(F.struct("__at", "o", "e")))
+    fold = lambda array, first: F.aggregate(array, first, lambda b, x: accumulator(b, x["e"]["v"]))
+    longest = -(-size // max(chunks, 1))
+    if longest <= block:
+        parts = rows.groupBy("__chunk").agg(fold(every, supplier()).alias("b"))
+    else:
+        parts = _rounds(rows, every, fold, supplier, size, chunks, -(-longest // block), block)
+    if chunks <= 1:
+        return parts.agg(F.first(F.struct("b")).alias("s")).select(F.when(F.col("s").isNull(), finisher(supplier())).otherwise(finisher(F.col("s.b"))).alias("value"))
     every = F.array_sort(F.collect_list(F.struct("__chunk", F.struct("b").alias("s"))))
     first = F.get(every, 0)["s"]["b"]
     rest = F.slice(every, F.lit(2), F.greatest(F.size(every), F.lit(1)))
     return parts.agg(F.when(F.size(every) == 0, finisher(supplier())).otherwise(F.aggregate(rest, first, lambda b, x: combine(b, x["s"]["b"]), finisher)).alias("value"))
 
 
+def _rounds(rows: DataFrame, every: Column, fold, supplier, size: int, chunks: int, rounds: int, block: int) -> DataFrame:
+    """``(__chunk, b)`` after ``rounds`` rounds of a block of each chunk; a buffer for each chunk passes through the driver."""
+    spark = rows.sparkSession
+    wide = lambda x: x.cast("decimal(38,0)")
+    top = wide(F.col("__chunk")) * wide(F.lit(size))
+    start = ((top - top % wide(F.lit(chunks))) / wide(F.lit(chunks))).cast("long")
+    rows = rows.withColumn("__block", F.floor((F.col("__at") - start) / block)).persist(StorageLevel.DISK_ONLY)
+    parts = None
+    for k in range(rounds):
+        now = rows.filter(F.col("__block") == k).groupBy("__chunk").agg(every.alias("x"))
+        if parts is None:
+            now = now.select("__chunk", fold(F.col("x"), supplier()).alias("b"))
+        else:
+            now = parts.join(now, "__chunk", "left")
+            now = now.select("__chunk", F.when(F.col("x").isNull(), F.col("b")).otherwise(fold(F.col("x"), F.col("b"))).alias("b"))
+        parts = spark.createDataFrame(now.collect(), now.schema)
+    rows.unpersist()
+    return parts
+
+
 class ShortCircuitingCollector(Terminal):
     """A fold in Python on the driver that may stop: ``accumulator`` returns true for enough.
 
@@ -280,6 +310,22 @@ class StringJoin(ParallelCollector):
         return F.coalesce(buffer, F.lit(""))
 
 
+class ListOf(ParallelCollector):
+    """A list of one-column elements in order: parts build lists of their own, which are joined."""
+
+    def __init__(self, kind: str):
+        self.kind = kind
+
+    def supplier(self):
+        return F.array().cast(f"array<{self.kind}>")
+
+    def accumulator(self, buffer, element):
+        return F.array_append(buffer, element.cast(self.kind))
+
+    def combine(self, left, right):
+        return F.concat(left, right)
+
+
 class TakeFirst(Terminal):
     """The first ``count`` elements; the source ends there."""
 

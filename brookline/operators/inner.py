@@ -1,4 +1,4 @@
-"""Inner sequences of flat_map: arrays, related rows and generated rows."""
+"""Inner sequences of flat_map: arrays, related rows, generated rows, other pipelines, and sequences inside these."""
 
 from __future__ import annotations
 
@@ -39,6 +39,8 @@ class Items(Inner):
         return Items(F.transform(self.array, checked), self.keep)
 
     def flat_map(self, function: Callable[[Column], Items]) -> Items:
+        """``function`` returns `items` of an array; see `Related.flat_map` for sequences of other kinds."""
+
         def array(x: Column) -> Column:
             got = function(x)
             if not isinstance(got, Items):
@@ -47,6 +49,10 @@ class Items(Inner):
 
         return Items(F.flatten(F.transform(self.array, array)), self.keep)
 
+    def nest(self, function: Callable) -> Nested:
+        """Like `flat_map`, for inner sequences of any kind; ``function`` takes the columns (``value``)."""
+        return Nested(self, function)
+
     def skip(self, count: int) -> Items:
         _check("skip", count)
         return Items(F.slice(self.array, F.lit(count + 1), F.greatest(F.size(self.array), F.lit(0))), self.keep)
@@ -81,6 +87,10 @@ class Related(Inner):
         kept = dict.fromkeys([*self.on.values(), *self.order_by])
         return self._with(self.df.select(*(c for c in kept if c not in columns), *(c.alias(n) for n, c in columns.items())))
 
+    def flat_map(self, function: Callable) -> Nested:
+        """``function`` takes a related row's columns and returns an inner sequence of any kind."""
+        return Nested(self, function)
+
     def _slice(self, low: int, high: int | None) -> Related:
         over = Window.partitionBy(*self.on.values()).orderBy(*self.order_by)
         rows = self.df.withColumn("__rn", F.row_number().over(over)).filter(F.col("__rn") > low)
@@ -106,36 +116,118 @@ class Related(Inner):
 class Generated(Inner):
     """What a Python generator function yields for the outer element's columns.
 
+    Its steps are Python functions of an item, taken one by one as items are asked for.
     The generator may have no end; so it needs a limit, and is run up to it only.
     """
 
-    def __init__(self, function: Callable, arguments: list[str], kind: str, skipped: int = 0, limited: int | None = None, keep: tuple[str, ...] = ()):
-        self.function, self.arguments, self.kind, self.skipped, self.limited, self.keep = function, arguments, kind, skipped, limited, keep
+    def __init__(self, function: Callable, arguments: list[str], kind: str, steps: tuple = (), keep: tuple[str, ...] = ()):
+        self.function, self.arguments, self.kind, self.steps, self.keep = function, arguments, kind, steps, keep
+
+    def _with(self, step: str, what, kind: str | None = None) -> Generated:
+        return Generated(self.function, self.arguments, kind or self.kind, (*self.steps, (step, what)), self.keep)
+
+    def filter(self, predicate: Callable) -> Generated:
+        return self._with("filter", predicate)
+
+    def map(self, function: Callable, kind: str | None = None) -> Generated:
+        """``kind`` is the type of what ``function`` returns, if another."""
+        return self._with("map", function, kind)
+
+    def flat_map(self, function: Callable, kind: str | None = None) -> Generated:
+        """``function`` returns an iterable, which may have no end either."""
+        return self._with("flat_map", function, kind)
 
     def skip(self, count: int) -> Generated:
         _check("skip", count)
-        left = None if self.limited is None else max(0, self.limited - count)
-        return Generated(self.function, self.arguments, self.kind, self.skipped + count, left, self.keep)
+        return self._with("skip", count)
 
     def limit(self, count: int) -> Generated:
         _check("limit", count)
-        most = count if self.limited is None else min(count, self.limited)
-        return Generated(self.function, self.arguments, self.kind, self.skipped, most, self.keep)
+        return self._with("limit", count)
 
     def expand(self, outer, order, position):
-        if self.limited is None:
+        if not any(step == "limit" for step, _ in self.steps):
             raise ValueError("a generated inner sequence needs a limit")
-        function, skipped, limited = self.function, self.skipped, self.limited
+        function, steps = self.function, self.steps
 
         def rows(*values):
-            from itertools import islice
-
-            return list(islice(function(*values), skipped, skipped + limited))
+            from itertools import chain, islice
+
+            found = iter(function(*values))
+            for step, what in steps:
+                if step == "filter":
+                    found = filter(what, found)
+                elif step == "map":
+                    found = map(what, found)
+                elif step == "flat_map":
+                    found = chain.from_iterable(map(what, found))
+                else:
+                    found = islice(found, what, None) if step == "skip" else islice(found, what)
+            return list(found)
 
         array = F.udf(rows, f"array<{self.kind}>", useArrow=True)(*self.arguments)
         return Items(array, self.keep).expand(outer, order, position)
 
 
+class Whole(Inner):
+    """All elements of a pipeline that doesn't depend on the outer element, for each of these."""
+
+    def __init__(self, pipeline, keep: tuple[str, ...] = ()):
+        self.pipeline, self.keep = pipeline, keep
+
+    def expand(self, outer, order, position):
+        self.pipeline._check_bounded()
+        own, names = self.pipeline._order, self.pipeline.names
+        ties = [f"{position}_{i}" for i in range(len(own))]
+        right = self.pipeline.rows.select(*(F.col(c).alias(t) for c, t in zip(own, ties)), *names)
+        return outer.select(*order, *self.keep).crossJoin(right), [*order, *ties]
+
+
+class Nested(Inner):
+    """A sequence for each element of a sequence; steps and slices after it count per outer element."""
+
+    def __init__(self, base: Inner, function: Callable, steps: tuple = ()):
+        self.base, self.function, self.steps = base, function, steps
+
+    def _with(self, step: str, what) -> Nested:
+        return Nested(self.base, self.function, (*self.steps, (step, what)))
+
+    def filter(self, predicate: Column | str) -> Nested:
+        return self._with("filter", predicate)
+
+    def map(self, **columns: Column) -> Nested:
+        return self._with("map", columns)
+
+    def flat_map(self, function: Callable) -> Nested:
+        return Nested(self, function)
+
+    def skip(self, count: int) -> Nested:
+        _check("skip", count)
+        return self._with("skip", count)
+
+    def limit(self, count: int) -> Nested:
+        _check("limit", count)
+        return self._with("limit", count)
+
+    def expand(self, outer, order, position):
+        from ..plans.order import ordinal
+        from ..plans.pipeline import Element, inner_of
+
+        rows, middle = self.base.expand(outer, order, position)
+        names = [c for c in rows.columns if c not in middle]
+        rows, every = inner_of(self.function(Element(names))).expand(rows, middle, f"{ordinal(len(middle))}n")
+        for step, what in self.steps:
+            if step == "filter":
+                rows = rows.filter(what)
+            elif step == "map":
+                rows = rows.select(*every, *(c.alias(n) for n, c in what.items()))
+            else:
+                over = Window.partitionBy(*order).orderBy(*every[len(order) :])
+                rows = rows.withColumn("__rn", F.row_number().over(over))
+                rows = rows.filter(F.col("__rn") > what if step == "skip" else F.col("__rn") <= what).drop("__rn")
+        return rows, every
+
+
 def items(array: Column, keep: tuple[str, ...] = ()) -> Items:
     """The elements of ``array``, as ``value``; ``keep`` names outer columns that go along."""
     return Items(array, keep)
@@ -146,6 +238,11 @@ def related(df: DataFrame, on: dict[str, str], order_by: list[str], keep: tuple[
     return Related(df, on, order_by, keep)
 
 
+def whole(pipeline, keep: tuple[str, ...] = ()) -> Whole:
+    """All elements of ``pipeline``; ``keep`` names outer columns that go along."""
+    return Whole(pipeline, keep)
+
+
 def generated(function: Callable, arguments: list[str], kind: str = "string", keep: tuple[str, ...] = ()) -> Generated:
     """What ``function`` yields for the named outer columns; ``kind`` is the type of an item."""
     return Generated(function, arguments, kind, keep=keep)

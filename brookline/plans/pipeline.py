@@ -36,14 +36,15 @@ class Element:
 class Pipeline:
     """What all pipelines share: filter, map and flat_map."""
 
-    def __init__(self, df: DataFrame, order: list[str], bounded: bool = True, skipped: int = 0, indexed: int | None = None):
+    def __init__(self, df: DataFrame, order: list[str], bounded: bool = True, skipped: int = 0, indexed: int | None = None, ties: bool = False):
+        #: ``ties``: rows may have equal ordinals.
         #: ``skipped``: a skip that is still to be done; with a limit after it, it is one operator.
         #: ``indexed``: the number of elements, if the one ordinal is their 0-based index.
-        self._df, self._order, self._bounded, self._skipped, self._indexed = df, order, bounded, skipped, indexed
+        self._df, self._order, self._bounded, self._skipped, self._indexed, self._ties = df, order, bounded, skipped, indexed, ties
 
     def _as(self, df: DataFrame, order: list[str] | None = None, **state) -> Pipeline:
         kind = ParallelPipeline if isinstance(self, ParallelPipeline) else SequentialPipeline
-        return kind(df, order or self._order, state.get("bounded", self._bounded), state.get("skipped", 0), state.get("indexed"))
+        return kind(df, order or self._order, state.get("bounded", self._bounded), state.get("skipped", 0), state.get("indexed"), self._ties)
 
     @property
     def names(self) -> list[str]:
@@ -58,7 +59,16 @@ class Pipeline:
             # The largest ordinal among the first n; with fewer than n rows nothing is above it.
             first = df.orderBy(*self._order).limit(self._skipped) if self._bounded else df.limit(self._skipped)
             last = first.agg(F.max(key(self._order)).alias("m"))
-            df = df.filter(key(self._order) > last.scalar())
+            if not self._ties:
+                return df.filter(key(self._order) > last.scalar())
+            # Of the rows that are equal to the last one left out, as many go as are among the first n.
+            end = last.first()["m"]
+            if end is None:
+                return df
+            end = F.struct(*(F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(self._order, end)))
+            within = first.filter(key(self._order).eqNullSafe(end)).count()
+            equal = df.filter(key(self._order).eqNullSafe(end))
+            df = df.filter(key(self._order) > end).unionByName(equal.offset(within))
         return df
 
     def dataframe(self) -> DataFrame:
@@ -99,18 +109,24 @@ class Pipeline:
     def flat_map(self, function: Callable[[Element], inner_sequences.Inner]) -> Pipeline:
         """The elements of an inner sequence for each element, in the order of both.
 
-        ``function`` returns `items` of an array, a `related` pipeline or a
-        `generated` sequence, with its own steps and slices.
+        ``function`` returns `items` of an array, a `related` pipeline, a
+        `generated` sequence or another sequential pipeline, with its own steps and slices.
         """
-        got = self._call(function)
-        if isinstance(got, ParallelPipeline):
-            raise TypeError("the inner sequence of flatMap must be a SequentialStream, not a ParallelStream")
-        if not isinstance(got, inner_sequences.Inner):
-            raise TypeError("flatMap needs an inner Stream; it cannot contain another Stream as an element")
-        rows, order = got.expand(self.rows, self._order, ordinal(len(self._order)))
+        rows, order = inner_of(self._call(function)).expand(self.rows, self._order, ordinal(len(self._order)))
         return self._as(rows, order)
 
 
+def inner_of(got) -> inner_sequences.Inner:
+    """What a function for flat_map returned, as an inner sequence."""
+    if isinstance(got, ParallelPipeline):
+        raise TypeError("the inner sequence of flatMap must be a SequentialStream, not a ParallelStream")
+    if isinstance(got, Pipeline):
+        return inner_sequences.Whole(got)
+    if not isinstance(got, inner_sequences.Inner):
+        raise TypeError("flatMap needs an inner Stream; it cannot contain another Stream as an element")
+    return got
+
+
 class _Collecting:
     def plan(self, collector, compile_config: CompileConfig | None = None, runtime_config: RuntimeConfig | None = None) -> DataFrame:
         """The result of ``collector`` as a DataFrame, not yet run."""
@@ -154,7 +170,7 @@ class SplittableSource(SequentialPipeline):
     """A source that can be split, with nothing applied yet."""
 
     def parallel(self) -> ParallelPipeline:
-        return ParallelPipeline(self._df, self._order, self._bounded, 0, self._indexed)
+        return ParallelPipeline(self._df, self._order, self._bounded, 0, self._indexed, self._ties)
 
 
 class ParallelPipeline(_Collecting, Pipeline):

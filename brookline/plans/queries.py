@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import RuntimeConfig
-from ..operators.collectors import Collector, MinMax, StringJoin, TakeFirst, ToMap, find_first, summing, to_array, to_set
+from ..config import CompileConfig, RuntimeConfig
+from ..operators.collectors import Collector, ListOf, MinMax, ShortCircuitingCollector, StringJoin, TakeFirst, ToMap, find_first, summing, to_array, to_set
 from ..functions import opaque
-from ..operators.inner import generated, items, related
-from ..plans.order import key
+from ..operators.inner import generated, items, related, whole
+from ..plans.order import positions
 from ..plans.shipping import ship
-from ..sources import from_dataframe, from_generator, from_range, of
+from ..sources import from_array, from_dataframe, from_generator, from_iterable, from_range, of
 
 #: Elements of the generated transactions (a fixed value of the benchmark).
 TRANSACTIONS = 100_000
@@ -112,9 +112,49 @@ class TotalLength(Collector):
 
 
 def with_positions(p, name: str) -> DataFrame:
-    """Ordered elements of a small sequence as ``(pos, name)`` rows."""
-    every = F.array_sort(F.collect_list(F.struct(key(p._order).alias("o"), F.struct(*p.names).alias("e"))))
-    return p.rows.agg(every.alias("a")).select(F.posexplode("a").alias("pos", "x")).select("pos", F.col(f"x.e.{p.names[0]}").alias(name))
+    """The elements of a sequence as ``(pos, name)`` rows."""
+    return positions(p.rows, p._order, "__at").select(F.col("__at").cast("int").alias("pos"), F.col(p.names[0]).alias(name))
+
+
+class UntilTotal(ShortCircuitingCollector):
+    """How many elements it takes for their sum to pass ``total``, and that sum."""
+
+    def __init__(self, total: float):
+        self.total = total
+
+    def supplier(self):
+        return [0, 0.0]
+
+    def accumulator(self, buffer, element):
+        buffer[0] += 1
+        buffer[1] += element
+        return buffer[1] > self.total
+
+    def finisher(self, buffer):
+        return (buffer[0], round(buffer[1], 2))
+
+
+def _short_circuit(s, d):
+    found = orders(s, d).map(lambda e: e.o_totalprice).collect(UntilTotal(1_000_000.0))
+    return s.createDataFrame([found], "taken int, total double")
+
+
+def _related_nested(s, d):
+    nations, suppliers = (s.read.parquet(f"{d}/{t}.parquet") for t in ("nation", "supplier"))
+    inner = related(nations, {"r_regionkey": "n_regionkey"}, ["n_nationkey"], keep=("r_name",))
+    deep = inner.flat_map(lambda n: related(suppliers, {"n_nationkey": "s_nationkey"}, ["s_suppkey"], keep=("r_name", "n_name"))).skip(1).limit(4)
+    return load(s, d, "region", ["r_regionkey"]).flat_map(lambda e: deep).rows.select("r_name", "n_name", "s_suppkey")
+
+
+def _generated_steps(s, d):
+    ship(s)
+    steps = generated(_doubling, ["n_name"], keep=("n_nationkey",)).map(len, "int").filter(lambda n: n % 2 == 0).flat_map(lambda n: (n, -n)).limit(3)
+    return nation(s, d).flat_map(lambda e: steps).rows.select("n_nationkey", "value")
+
+
+def _pipeline_inside(s, d):
+    inner = load(s, d, "region", ["r_regionkey"]).filter(lambda r: r.r_regionkey > 0).limit(2)
+    return nation(s, d).flat_map(lambda e: whole(inner, keep=("n_nationkey",))).rows.select("n_nationkey", "r_name")
 
 
 def _wrap_int(s, d):
@@ -207,6 +247,16 @@ QUERIES = {
     "par_collector": lambda s, d: nation(s, d).parallel().map(lambda e: e.n_name).plan(StringJoin("|"), runtime_config=RuntimeConfig(3, 2)).withColumnRenamed("value", "joined"),
     "par_sum": lambda s, d: lineitem(s, d).parallel().filter(lambda e: e.l_quantity < 24).map(lambda e: e.l_extendedprice * e.l_discount).plan(summing()).select(F.round("value", 2).alias("revenue")),
     "par_sum_exact": lambda s, d: orders(s, d).parallel().map(lambda e: e.o_totalprice).plan(summing(exact=True), runtime_config=RuntimeConfig(8, 8)).select(F.round("value", 2).alias("total")),
+    "flatmap_related_nested": _related_nested,
+    "flatmap_generated_steps": _generated_steps,
+    "flatmap_pipeline": _pipeline_inside,
+    "short_circuit": _short_circuit,
+    "par_list": lambda s, d: nation(s, d).parallel().map(lambda e: e.n_name).plan(ListOf("string"), runtime_config=RuntimeConfig(3, 2)).select(F.array_join("value", "|").alias("joined"), F.size("value").alias("n")),
+    "from_array": lambda s, d: from_array(s, [3, 1, 2]).parallel().map(lambda e: e.value * 2).plan(summing()).withColumnRenamed("value", "total"),
+    "from_iterable": lambda s, d: with_positions(from_iterable(s, (k * k for k in range(20))).skip(2).limit(5).filter(lambda e: e.value > 4), "value"),
+    "from_list": lambda s, d: from_iterable(s, ["c", None, "a"], "string").map(lambda e: F.coalesce(e.value, F.lit("?"))).plan(StringJoin()).withColumnRenamed("value", "joined"),
+    "skip_ties": lambda s, d: from_dataframe(s.read.parquet(f"{d}/lineitem.parquet").select("l_shipdate", "l_returnflag"), ["l_shipdate"], unique=False).skip(1000).rows.groupBy("l_shipdate").agg(F.count("*").alias("n")),
+    "config": lambda s, d: nation(s, d).parallel().map(lambda e: e.n_nationkey).plan(summing(), CompileConfig(use_unsafe=False, strict_inlining=True), RuntimeConfig(2, 3)).withColumnRenamed("value", "total"),
     "mega_at_once": benchmark_at_once,
     **{name: benchmark(name) for name in BENCHMARK},
 }
@@ -257,6 +307,21 @@ SQL = {
     "par_collector": "select coalesce(string_agg(n_name, '|' order by n_nationkey), '') as joined from nation",
     "par_sum": "select round(coalesce(sum(l_extendedprice * l_discount), 0), 2) as revenue from lineitem where l_quantity < 24",
     "par_sum_exact": "select round(sum(o_totalprice), 2) as total from orders",
+    "flatmap_related_nested": """select r_name, n_name, s_suppkey from (
+      select r_name, n_name, s_suppkey, row_number() over (partition by r_regionkey order by n_nationkey, s_suppkey) k
+      from region join nation on n_regionkey = r_regionkey join supplier on s_nationkey = n_nationkey) where k between 2 and 5""",
+    "flatmap_generated_steps": """select n_nationkey, value::int as value from (
+      select n_nationkey, v * sign as value, row_number() over (partition by n_nationkey order by v, sign desc) k
+      from (select n_nationkey, length(n_name) * i as v from nation, range(1, 9) t(i)) x, (select unnest([1, -1]) sign) u where v % 2 = 0) where k <= 3""",
+    "flatmap_pipeline": "select n_nationkey, r_name from nation, (select r_name from region where r_regionkey > 0 order by r_regionkey limit 2)",
+    "short_circuit": """select min(k)::int as taken, round(min(upto), 2) as total from (
+      select row_number() over (order by o_orderkey) k, sum(o_totalprice) over (order by o_orderkey rows unbounded preceding) upto from orders) where upto > 1000000""",
+    "par_list": "select string_agg(n_name, '|' order by n_nationkey) as joined, count(*)::int as n from nation",
+    "from_array": "select 12 as total",
+    "from_iterable": "select (i - 3)::int as pos, (i * i)::int as value from range(3, 7) t(i)",
+    "from_list": "select 'c?a' as joined",
+    "skip_ties": """select l_shipdate, count(*) as n from (select l_shipdate, row_number() over (order by l_shipdate) k from lineitem) where k > 1000 group by 1""",
+    "config": "select sum(n_nationkey)::int as total from nation",
     "mega_at_once": f"select {', '.join(f'round(coalesce(sum({v}) filter (where {w}), 0), 2) as {n}' for n, (w, v) in BENCHMARK_SQL.items())} from {TRANSACTIONS_SQL}",
     **{n: f"select round(coalesce(sum({v}), 0.0::double), 2) as total from {TRANSACTIONS_SQL} where {w}" for n, (w, v) in BENCHMARK_SQL.items()},
 }

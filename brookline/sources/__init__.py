@@ -12,11 +12,16 @@ from ..plans.order import ordinal
 from ..plans.pipeline import SequentialPipeline, SplittableSource
 
 
-def from_dataframe(df: DataFrame, order_by: list[str], splittable: bool = True) -> SequentialPipeline:
-    """The rows of ``df`` in the order of columns that tell all rows apart."""
-    order = [ordinal(i) for i in range(len(order_by))]
-    rows = df.select(*(F.col(c).alias(o) for c, o in zip(order_by, order)), "*")
-    return (SplittableSource if splittable else SequentialPipeline)(rows, order)
+def from_dataframe(df: DataFrame, order_by: list[str], splittable: bool = True, unique: bool = True) -> SequentialPipeline:
+    """The rows of ``df`` in the order of columns that tell all rows apart.
+
+    With ``unique`` false they need not: rows that they leave equal are ordered by a hash
+    of all their columns, and a skip counts rows that are equal in all columns one by one.
+    """
+    keys = [F.col(c) for c in order_by] + ([] if unique else [F.xxhash64(*df.columns)])
+    order = [ordinal(i) for i in range(len(keys))]
+    rows = df.select(*(c.alias(o) for c, o in zip(keys, order)), "*")
+    return (SplittableSource if splittable else SequentialPipeline)(rows, order, ties=not unique)
 
 
 def from_parquet(spark: SparkSession, path: str, order_by: list[str]) -> SplittableSource:

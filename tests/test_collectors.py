@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from brookline import Collector, CompileConfig, MinMax, ParallelCollector, RuntimeConfig, ShortCircuitingCollector, StringJoin, TakeFirst, ToMap, collector, find_first, from_iterable, from_range, from_rows, items, of, summing, to_array, to_list, to_set
+from brookline import Collector, CompileConfig, ListOf, MinMax, ParallelCollector, RuntimeConfig, ShortCircuitingCollector, StringJoin, TakeFirst, ToMap, collector, find_first, from_dataframe, from_iterable, from_range, from_rows, generated, items, of, summing, to_array, to_list, to_set
 from brookline.functions import chunk_count, chunk_of
 
 TOP = 2**31 - 1
@@ -164,3 +164,46 @@ def test_failure_surfaces_and_session_goes_on(spark):
     with pytest.raises(Exception, match="boom 42"):
         failing.collect(summing())
     assert source.collect(summing()) == sum(range(103))
+
+
+@pytest.mark.parametrize("workers,each", [(1, 1), (3, 1), (3, 4)])
+def test_folds_in_rounds(spark, monkeypatch, workers, each):
+    from brookline.operators import collectors
+
+    values = [((k * 7919) % 1000) * 10.0 ** (k % 17 - 8) for k in range(1003)]
+    source = from_rows(spark, values, "double").parallel()
+    words = from_rows(spark, [f"w{k}" if k % 5 else None for k in range(301)], "string").filter(lambda e: e.value.isNotNull() | e.value.isNull())
+    config = RuntimeConfig(workers, each)
+    whole = source.collect(summing(exact=True), runtime_config=config)
+    joined = words.collect(ListOf("string"))
+    monkeypatch.setattr(collectors, "BLOCK", 37)
+    assert source.collect(summing(exact=True), runtime_config=config) == whole
+    assert words.collect(ListOf("string")) == joined == [f"w{k}" if k % 5 else None for k in range(301)]
+    assert from_rows(spark, [], "double").parallel().collect(summing(exact=True), runtime_config=config) == 0
+
+
+def test_logging_prints_the_plan(spark, capfd):
+    source = from_rows(spark, [1, 2, 3])
+    source.collect(summing())
+    assert "Codegen" not in capfd.readouterr().out
+    source.collect(summing(), CompileConfig(enable_logging=True))
+    assert "codegen" in capfd.readouterr().out.lower()
+
+
+def test_inner_sequences_of_any_kind(spark):
+    outer = from_rows(spark, [2, 3])
+    inner = from_rows(spark, [10, 20]).map(lambda e: {"x": e.value})
+    assert outer.flat_map(lambda e: inner).collect(to_list()) == [10, 20, 10, 20]
+    deep = outer.flat_map(lambda e: items(F.sequence(F.lit(1), e.value), keep=("value",) * 0).nest(lambda v: generated(lambda n: iter(range(n)), ["value"], "int").limit(9)).limit(4))
+    assert deep.collect(to_list()) == [0, 0, 1, 0, 0, 1, 0]
+    with pytest.raises(TypeError, match="ParallelStream"):
+        outer.flat_map(lambda e: from_rows(spark, [1]).parallel())
+    with pytest.raises(ValueError, match="needs a limit"):
+        outer.flat_map(lambda e: generated(lambda v: iter(int, 1), ["value"], "int").map(abs)).collect(to_list())
+
+
+def test_skip_of_equal_rows(spark):
+    df = spark.createDataFrame([(1, "a")] * 5 + [(2, "b"), (2, "c"), (2, "b")], "k int, v string")
+    source = from_dataframe(df, ["k"], unique=False)
+    for n in range(10):
+        assert len(source.skip(n).rows.collect()) == max(0, 8 - n)
