@@ -13,7 +13,7 @@ so alike cannot miss; and the sets' overlap is counted only for the pairs that
 their lengths and the places of the shared signature leave possible.
 
 Scale: all of it is DataFrame expressions.  `with_next` moves each text once: it
-is dealt by a bucket of its id, and a window in the bucket looks at the following
+is dealt by a bucket of its id (`buckets`), and a window in the bucket looks at the following
 row.  The first row of each bucket is also sent to the bucket before it; those
 are found through a bitmap of fixed size.  Equal fingerprints are one class, so
 copies meet only once.
@@ -27,13 +27,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap_filter, cut, in_bitmap, written
+from .common import bitmap_bits, bitmap_filter, cut, in_bitmap, written
 from .common_words import COMMON_WORDS
 
 #: Words after the anchor that a signature takes.
 CHAIN = 2
-#: Rows of a bucket of ids, about.
-BUCKET = 512
+#: Rows of a bucket of ids, about, and parts that quantiles cut the ids to.
+BUCKET, PARTS = 512, 256
 STOP = sorted(set().union(*COMMON_WORDS.values()))
 
 
@@ -75,19 +75,42 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return spots(rows, "_bl_t", "signatures", chain).select(F.col("_bl_id").alias(id_col), "signatures")
 
 
+def buckets(ids: DataFrame, size: int, parts: int = PARTS) -> Column:
+    """The bucket of a row with ``_bl_id`` and the text's hash ``_bl_h``, of about ``size`` rows, ascending.
+
+    ``parts`` quantiles of the ids cut their range, and each part is cut to equal widths, so
+    ids far from the others take no room from these.  An id that fills a part, and null,
+    which is below all ids, are cut by the hash.  The driver sees the quantiles only.
+    """
+    at = [k / parts for k in range(parts + 1)]
+    count, nulls, found = ids.agg(F.count("*"), F.count_if(F.col("_bl_id").isNull()), F.percentile_approx("_bl_id", at, 10_000)).first()
+    spread = lambda rows: F.least(F.floor((F.col("_bl_h") / 2.0**64 + 0.5) * -(-rows // size)), F.lit(max(0, -(-rows // size) - 1)))
+    lowest = F.lit(-(1 << 50)) + spread(nulls)
+    if not found:
+        return lowest
+    ends = sorted(set(found))
+    each = -(-(count - nulls) // parts)
+    often = [found.count(e) for e in ends]
+    bins = max(1, -(-each // size))
+    part = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= F.col("_bl_id")))
+    # The smallest id may be below the first quantile found.
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.greatest(part, F.lit(1)))
+    steps = [bins / (float(b) - float(a)) for a, b in zip(ends, ends[1:])] + [0.0]
+    wide = F.greatest(F.lit(0), F.least(F.floor((F.col("_bl_id").cast("double") - of([float(e) for e in ends])) * of(steps)), F.lit(bins - 1)))
+    tops = [max(1, -(-each * n // size)) if n > 1 else 1 for n in often]
+    narrow = F.least(F.floor((F.col("_bl_h") / 2.0**64 + 0.5) * of(tops)), of(tops) - 1)
+    full = (F.col("_bl_id") == of(ends)) & (of(often) > 1)
+    return F.when(F.col("_bl_id").isNull(), lowest).otherwise(part.cast("long") * (1 << 41) + F.when(full, narrow).otherwise(wide + (1 << 40)))
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str, chain: int = CHAIN, bucket: int = BUCKET) -> DataFrame:
     """``(_bl_id, _bl_t, _bl_sig, _bl_t2, _bl_sig2)``: each row, and the next by descending id.
 
     After the last row comes the first.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_bl_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_bl_t"))
-    low, high, count = rows.agg(F.min("_bl_id"), F.max("_bl_id"), F.count("*")).first()
-    low, high = low or 0, high or 0
-    width = max(1, (high - low + 1) * bucket // max(1, count))
-    # Null ids have a bucket below all others.
-    place = F.coalesce(F.floor((F.col("_bl_id") - F.lit(low)) / F.lit(width)), F.lit(-1)).alias("_bl_b")
-    tie = F.xxhash64("_bl_t").alias("_bl_h")
-    rows = rows.select("*", place, tie)
+    place = buckets(rows.select("_bl_id"), bucket)
+    rows = rows.withColumn("_bl_h", F.xxhash64("_bl_t")).withColumn("_bl_b", place)
     heads = cut(rows.groupBy("_bl_b").agg(F.max(F.struct("_bl_id", "_bl_h")).alias("_bl_m")))
     # The bucket above each bucket, and for the topmost the lowest: by groups of
     # buckets, and by the groups' own ends.
@@ -100,9 +123,12 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, chain: int = CHAIN, b
     heads = heads.join(ends, "_bl_hi").select("_bl_m", F.coalesce("_bl_up", "_bl_above", "_bl_first").alias("_bl_to"))
     heads = cut(heads)
     key = F.struct("_bl_id", "_bl_h")
-    guests = in_bitmap(rows, key, cut(bitmap_filter(heads, F.col("_bl_m"))), "_bl_maybe").filter("_bl_maybe")
+    bits = bitmap_bits(heads.count())
+    guests = in_bitmap(rows, key, cut(bitmap_filter(heads, F.col("_bl_m"), bits)), "_bl_maybe", bits).filter("_bl_maybe")
     match = guests["_bl_id"].eqNullSafe(F.col("_bl_m._bl_id")) & (guests["_bl_h"] == F.col("_bl_m._bl_h"))
-    guests = guests.join(heads, match).select("_bl_id", "_bl_t", F.col("_bl_to").alias("_bl_b"), "_bl_h", F.lit(1).alias("_bl_guest"))
+    # Of equal rows one is enough; partial aggregation leaves one of each task.
+    guests = guests.join(heads, match).groupBy(F.col("_bl_to").alias("_bl_b"), "_bl_id", "_bl_h").agg(F.first("_bl_t").alias("_bl_t"))
+    guests = guests.select("_bl_id", "_bl_t", "_bl_h", "_bl_b", F.lit(1).alias("_bl_guest"))
     every = rows.withColumn("_bl_guest", F.lit(0)).unionByName(guests).repartition("_bl_b")
     every = spots(every, "_bl_t", "_bl_sig", chain)
     order = Window.partitionBy("_bl_b").orderBy("_bl_guest", F.col("_bl_id").desc_nulls_last(), F.col("_bl_h").desc())

@@ -115,6 +115,39 @@ def test_next_crosses_buckets(spark):
     assert got == {i: f"text {j}" for i, j in zip(order, [*order[1:], order[0]])}
 
 
+@pytest.mark.parametrize("kind", ["plain", "outlier", "nulls", "equal", "wide"])
+def test_buckets_of_any_ids(spark, kind):
+    n = 20_000
+    ids = {
+        "plain": "id", "outlier": f"if(id = {n - 1}, 1000000000000, id)", "nulls": "if(id % 2 = 0, null, id)",
+        "equal": "if(id % 3 = 0, 7, id)", "wide": "if(id = 0, -9223372036854775808, if(id = 1, 9223372036854775807, xxhash64(id)))",
+    }[kind]
+    df = spark.range(n).selectExpr(f"{ids} as _bl_id", "xxhash64(concat('t', id)) as _bl_h")
+    rows = df.withColumn("b", spotsigs.buckets(df, 512))
+    sizes = [r["count"] for r in rows.groupBy("b").count().collect()]
+    assert len(sizes) > 25 and max(sizes) <= 3 * 512
+    got = [(r.b, r["_bl_id"] if r["_bl_id"] is not None else -(1 << 64), r["_bl_h"]) for r in rows.collect()]
+    bounds = {}
+    for b, i, h in got:
+        low, high = bounds.get(b, ((i, h), (i, h)))
+        bounds[b] = (min(low, (i, h)), max(high, (i, h)))
+    order = [bounds[b] for b in sorted(bounds)]
+    assert all(x[1] < y[0] for x, y in zip(order, order[1:]))
+
+
+def test_next_of_random_ids(spark):
+    rng = np.random.default_rng(2)
+    some = [None, 0, 3, -(1 << 63), (1 << 63) - 1, *rng.integers(-(1 << 62), 1 << 62, 300).tolist()]
+    rows = [(some[k], f"text {n}") for n, k in enumerate(rng.integers(0, len(some), 600))] + [(5, "same")] * 50
+    got = spotsigs.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text", bucket=7)
+    got = [(r["_bl_id"], r["_bl_t"], r["_bl_t2"]) for r in got.collect()]
+    import xxhash
+
+    signed = lambda t: (xxhash.xxh64_intdigest(t, seed=42) + (1 << 63)) % (1 << 64) - (1 << 63)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])), reverse=True)
+    assert sorted(got, key=repr) == sorted(((a[0], a[1], b[1]) for a, b in zip(order, [*order[1:], order[0]])), key=repr)
+
+
 def test_pairs_of_fingerprints(spark):
     words = [f"w{i}" for i in range(60)]
     base = " the ".join(words)
