@@ -295,6 +295,47 @@ def test_contexts_find_spaced_and_leading_identifiers(spark):
     assert {i: got[i] for i in odd} == {i: s for i, (_, s) in odd.items()} and got[303] == ""
 
 
+def test_hidden_seeds_are_found_by_their_contexts(spark):
+    """A third of all identifiers are written so that no fixed pattern matches; look-alikes stand elsewhere."""
+    rng = np.random.default_rng(6)
+    fill = lambda: " ".join("".join(rng.choice(list("abcdeflmnorst"), rng.integers(2, 8))) for _ in range(rng.integers(2, 6)))
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    kinds = {
+        "email": (["please write to {}", "E-mail: {}", "\nmail to {} now"], lambda: f"u{digits(4)}@mail.example.com", lambda: f"u{digits(4)}(at)example.com"),
+        "ip": (["server at {} is", "host: {}", "login from {} failed"], lambda: ".".join(str(x) for x in rng.integers(1, 255, 4)), lambda: f"{digits(2)}.{digits(2)}.{digits(2)}.x7"),
+        "phone": (["call me at {}", "Tel: {}", "my number is {} now"], lambda: f"+1 ({digits(3)}) 555-{digits(4)}", lambda: f"({digits(3)}) 555-{digits(4)}"),
+    }
+    rows, hidden, false = [], set(), set()
+    for i in range(1500):
+        kind = list(kinds)[i % 3]
+        places, plain, odd = kinds[kind]
+        before, behind = rng.choice(places).split("{}")
+        head = f"{fill()}. {before}"
+        if i % 10 < 3:
+            value = odd()
+            hidden.add((i, kind, len(head), len(head) + len(value)))
+        elif i % 10 < 8:
+            value = plain()
+        else:
+            value, head = rng.choice([odd, lambda: digits(16), lambda: f"{digits(3)}-{digits(5)}"])(), f"{fill()} {fill()} "
+            false.add(i)
+        rows.append((i, f"{head}{value}{behind} {fill()}"))
+    got = set()
+    for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        got |= {(r.doc_id, x.kind, x.start, x.end) for x in r.spans if x not in r.base}
+    hit = len(got & hidden)
+    assert hit / len(hidden) > 0.9 and hit / len(got) > 0.9
+
+
+def test_long_texts_of_identifiers(spark):
+    import time
+
+    rows = [(1, " ".join(f"a{k}@b.c" for k in range(50_000))), (2, " ".join(f"x{k}y" * 2 for k in range(40_000)))]
+    began = time.time()
+    got = {r.doc_id: r.n_email for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    assert got == {1: 50_000, 2: 0} and time.time() - began < 120
+
+
 # 4 and 10
 
 
