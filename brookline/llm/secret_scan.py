@@ -2,7 +2,8 @@
 
 Every run of 16 or more characters of keys and codes, with a digit or of mixed
 case, is a candidate; it ends at an assignment sign.  So is what is assigned to a
-name with a cue word, of any length and punctuation; quoted values may have blanks.
+name with a cue word, of any length and punctuation; quoted values may have blanks; and so
+is the password in a URL.
 A candidate's features are its length, its changes between classes
 of characters, how much of it is dictionary words, how it lies in a path, and the
 words beside it.  A random forest (Spark ML, inside the JVM) that was trained on
@@ -33,13 +34,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common_words import COMMON_WORDS
-from .pii import matches
+from .pii import chunks, matches, piece
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z0-9+/_.-]*+=*+(?<=[A-Za-z0-9+/=_.-]{16}))(?=\S*[0-9A-Z])[A-Za-z0-9+/_.-]++(?:=++(?![^\s\"'`,;)\]}]))?+"
 CUES = "secret token password passwd pwd key apikey auth credential credentials private bearer access passphrase login signature".split()
 #: A cue word and an assignment sign, and the value behind them.
 ASSIGNS = r"(?i)(?:" + "|".join(CUES) + r")[a-z0-9_.-]{0,40}+[\"'`]?\s{0,3}[=:]++>?\s{0,3}"
 ASSIGNED = ASSIGNS + r"(?:\"[^\"\n]++(?=\")|'[^'\n]++(?=')|`[^`\n]++(?=`)|[\"'`]?[^\s\"'`]*[^\s\"'`.,;)\]}])"
+#: The user and password of a URL.
+IN_URL = r"(?<=://)[^\s/:@]{1,64}+:[^\s/@]++(?=@)"
 OTHER = "commit sha sha1 sha256 md5 checksum digest hash uuid guid id revision version file path class image cache etag build object tree".split()
 NAMES = "user name config default example test data server client value index module service manager handler controller factory string number object list base main src lib bin usr home var www com org net http https html json yaml docs assets static images style version build release internal application component".split()
 #: Code points before and behind a candidate that its neighbouring words are taken from.
@@ -94,17 +97,23 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         value = F.substring(m["value"], lead + 1, F.length(m["value"]) - lead)
         return F.struct((m["start"] + lead).alias("start"), m["end"].alias("end"), value.alias("value"))
 
-    rows = rows.withColumn("_bl_a", F.filter(F.transform(matches(text, ASSIGNED), bare), lambda m: m["value"] != ""))
+    def password(m: Column) -> Column:
+        lead = F.length(F.substring_index(m["value"], ":", 1)) + 1
+        return F.struct((m["start"] + lead).alias("start"), m["end"].alias("end"), F.regexp_replace(m["value"], r"^[^:]*+:", "").alias("value"))
+
+    given = F.concat(F.transform(matches(text, ASSIGNED), bare), F.transform(matches(text, IN_URL, "://"), password))
+    rows = rows.withColumn("_bl_a", F.array_distinct(F.filter(given, lambda m: m["value"] != "")))
     # A run at either end of an assigned value is that value, or a part of it.
     inside = lambda m: F.exists("_bl_a", lambda a: (a["start"] <= m["start"]) & (m["end"] <= a["end"]) & ((a["start"] == m["start"]) | (a["end"] == m["end"])))
-    hits = F.array_sort(F.concat("_bl_a", F.filter(hits, lambda m: ~inside(m))))
+    rows = rows.withColumn("_bl_hits", F.array_sort(F.concat("_bl_a", F.filter(hits, lambda m: ~inside(m)))))
+    rows = rows.filter(F.size("_bl_hits") > 0).withColumn("_bl_c", chunks(text))
+    hits, parts = F.col("_bl_hits"), F.col("_bl_c")
 
     def near(m: Column) -> Column:
-        start = F.greatest(m["start"] - NEAR, F.lit(0))
         return F.struct(
             m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"),
-            F.substring(text, start + 1, m["start"] - start).alias("before"),
-            F.substring(text, m["end"] + 1, F.lit(NEAR)).alias("behind"),
+            piece(parts, m["start"] - NEAR, NEAR).alias("before"),
+            piece(parts, m["end"], NEAR).alias("behind"),
         )
 
     return rows.select("_bl_id", "_bl_path", F.transform(hits, near).alias("_bl_m")).select("_bl_id", "_bl_path", F.explode("_bl_m").alias("_bl_m")).select("_bl_id", "_bl_path", "_bl_m.*")
@@ -144,6 +153,8 @@ def labelled(spark: SparkSession, each: int = 120, seed: int = SEED) -> DataFram
         some = rng.choice([quote, ""])
         add(1, f"{pick}{sign}{some}", short, some)
         add(1, f"{word()}_{cue}{sign}".upper(), of(b62 + "+/", 40))
+        add(1, f"{word()}://{word()}:", short, f"@{word()}.{rng.choice(['host', 'com', 'local'])}:5432/{word()}")
+        add(0, f"{word()}://{word()}:", rng.choice(["password", "pass", "xxxx", "****", f"<{word()}>", "${" + word().upper() + "}", "changeme"]), f"@{word()}.com/")
         plain = rng.choice([of(string.ascii_lowercase, rng.randint(1, 12)), word(), word().capitalize(), f"{word()}()", "${" + word().upper() + "}", f"<{word()}-{cue}>", "****", str(rng.randint(0, 99))])
         add(0, f"{rng.choice([cue, pick])}{sign}{some}", plain, some)
         add(0, "", f"{word()}_{word()}_{cue}_{word()}".upper(), rng.choice(["=", " = ", ": "]) + of(b62, 30))

@@ -493,7 +493,7 @@ def test_secret_forest(spark):
 def test_assigned_secrets(spark):
     model = secret_scan.train(secret_scan.labelled(spark))
     key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzQ8mTv4Lp"
-    rows = [(1, 'my password = "Tr0ub4dor&3" here', "Tr0ub4dor&3"), (2, "pwd: hunter2secret", "hunter2secret"), (3, f"AWS_SECRET_ACCESS_KEY={key}\n", key), (4, f"token={key}==", f"{key}=="), (5, "the password: then", None)]
+    rows = [(1, 'my password = "Tr0ub4dor&3" here', "Tr0ub4dor&3"), (2, "pwd: hunter2secret", "hunter2secret"), (3, f"AWS_SECRET_ACCESS_KEY={key}\n", key), (4, f"token={key}==", f"{key}=="), (5, "the password: then", None), (6, "see postgres://admin:S3cr3tPw9@db.host:5432/x here", "S3cr3tPw9"), (7, 'password = "hunter2!x"', "hunter2!x")]
     got = secret_scan.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), model).collect()
     for i, text, want in rows:
         assert [text[r.start : r.end] for r in got if r.doc_id == i and r.secret] == ([want] if want else [])
@@ -519,6 +519,12 @@ def test_secrets_in_documents(spark, texts):
 def test_secrets_of_odd_rows(odd, empty):
     assert secret_scan.scan(odd, None, path_col="source").columns[0] == "doc_id"
     assert secret_scan.scan(empty, None).count() == 0
+    model = secret_scan.train(secret_scan.labelled(odd.sparkSession, 40))
+    assert secret_scan.scan(odd, model, path_col="source").filter("secret").count() == 0 and secret_scan.scan(empty, model).count() == 0
+    rows = odd.filter("doc_id is null").withColumn("text", F.lit('token = "' + "ab12" * 10 + '"'))
+    assert [(r.doc_id, r.start, r.secret) for r in secret_scan.scan(rows.unionByName(rows), model, path_col="source").collect()] == [(None, 9, True)] * 2
+    held = model.stages[-1].featureImportances.toArray()
+    assert dict(zip(secret_scan.FEATURES, held))["in_path"] > 0
 
 
 # 9
