@@ -190,6 +190,9 @@ class Stretches:
     stretches in `encode_many` and `encode_stretch`.
     """
 
+    #: Code points of text that are encoded at once.
+    at_once = AT_ONCE
+
     def __init__(self, added: dict[str, int]):
         self.added = added
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
@@ -310,7 +313,7 @@ class Stretches:
             cut = self.split.split(text) if self.split is not None and any(t in text for t in self.added) else [text]
             parts += [(i, k % 2, p) for k, p in enumerate(cut)]
             size += len(text)
-            if size >= AT_ONCE or i + 1 == len(texts):
+            if size >= self.at_once or i + 1 == len(texts):
                 plain = iter(self._encode_batch([p for _, special, p in parts if not special]))
                 ids: dict[int, list[np.ndarray]] = {}
                 for j, special, p in parts:
@@ -326,6 +329,8 @@ class Stretches:
 class Library(Stretches):
     """The same ids by the tokenizers library, which encodes what memory lacks."""
 
+    at_once = 5 * AT_ONCE  # there is room for it, without the codec's tables
+
     def __init__(self, source: str):
         from tokenizers import Tokenizer
 
@@ -334,7 +339,7 @@ class Library(Stretches):
         self.tokenizer.no_padding()
         spec = json.loads(source)
         super().__init__({t["content"]: t["id"] for t in spec.get("added_tokens", [])})
-        self.lexicon.most *= 4  # there is room for it, without the codec's tables
+        self.lexicon.most *= 4
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():

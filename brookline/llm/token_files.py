@@ -52,6 +52,8 @@ WIDTH = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0])
 #: From the fewest ids per word to the most.
 ORDER = [14, 13, 12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1, 15]
 HEAD = struct.Struct("<4s4Q")
+#: Rows of a batch that are Python objects at once.
+ROWS = 1000
 #: Ids that end a record; a document is never split.
 RECORD_IDS = 1 << 17
 
@@ -198,7 +200,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id"
             docs.clear(), counts.clear(), held.clear()
             return out
 
-        parts = (batch.slice(k, bpe.ROWS) for batch in batches for k in range(0, batch.num_rows, bpe.ROWS))
+        parts = (batch.slice(k, ROWS) for batch in batches for k in range(0, batch.num_rows, ROWS))
         for part_rows in parts:
             for key, ids in zip(part_rows.column(0).to_pylist(), own.encode_texts(part_rows.column(1).to_pylist())):
                 docs.append(key)
