@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..plans import shipping
 
-__all__ = ["BROADCAST_ROWS", "bitmap_bits", "bitmap_filter", "bounded_sample", "clean", "cut", "in_bitmap", "own_dir", "running_sum", "shared_dir", "ship", "small_side", "table", "tidy", "without", "written"]
+__all__ = ["BROADCAST_ROWS", "bitmap_bits", "bitmap_filter", "bounded_sample", "clean", "cut", "in_bitmap", "own_dir", "release", "running_sum", "shared_dir", "ship", "small_side", "table", "tidy", "without", "written"]
 
 #: Rows that a broadcast side may have: narrow rows of some tens of bytes, so
 #: tens of MB at most.  Beyond it the same join runs as a shuffle join.
@@ -36,6 +36,19 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set(name, str(ARROW_ROWS))
 
 
+def release() -> None:
+    """Gives the free memory of this process back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(function):
     """``function`` of a task's batches, after which the Python worker gives free memory back.
 
@@ -47,15 +60,7 @@ def tidy(function):
         try:
             yield from function(batches)
         finally:
-            import ctypes
-            import gc
-
-            import pyarrow as pa
-
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
-                ctypes.CDLL(None).malloc_trim(0)
+            release()
 
     return run
 

@@ -68,6 +68,23 @@ class ConvNet:
             best[first:last] = np.maximum(best[first:last], np.maximum.reduceat(z, cuts, axis=0))
         return best
 
+    def peaks(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each filter has its maximum in each sequence, the first of equal ones, and the maximum."""
+        total = (len(flat) - self.width) // self.stride
+        cuts = np.append(starts, total)
+        at = np.zeros((len(starts), self.kernel.shape[1]), np.int64)
+        best = np.full(at.shape, -np.inf, np.float32)
+        for a in range(0, total, AT_ONCE):
+            b = min(total, a + AT_ONCE)
+            z = self.windows(flat[a * self.stride : b * self.stride + self.width - 1])[: b - a] @ self.kernel
+            for i in range(np.searchsorted(starts, a, "right") - 1, np.searchsorted(starts, b - 1, "right")):
+                p, q = max(cuts[i] - a, 0), min(cuts[i + 1], b) - a
+                k = z[p:q].argmax(0)
+                top = np.take_along_axis(z[p:q], k[None], 0)[0]
+                more = top > best[i]
+                at[i][more], best[i][more] = (k + p + a)[more], top[more]
+        return at, best
+
     def logits(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return np.maximum(self.pooled(flat, starts) + self.bias, 0) @ self.out + self.shift
 
@@ -89,11 +106,8 @@ class ConvNet:
                 flat, starts = self.join([sequences[i] for i in some])
                 if hide:
                     flat[rng.random(len(flat)) < hide] = 0
-                x = self.windows(flat)
-                z = x @ self.kernel
-                cuts = np.append(starts, (len(flat) - self.width) // self.stride)
-                at = np.stack([z[p:q].argmax(0) + p for p, q in zip(cuts, cuts[1:])])
-                top = np.take_along_axis(z, at, 0) + self.bias
+                at, top = self.peaks(flat, starts)
+                top += self.bias
                 keep = (rng.random(top.shape) >= drop).astype(np.float32) / (1 - drop)
                 h = np.maximum(top, 0) * keep
                 logit = h @ self.out + self.shift
@@ -102,9 +116,10 @@ class ConvNet:
                 p /= p.sum(1, keepdims=True)
                 d = (p - classes[labels[some]]) / len(some)
                 dh = d @ self.out.T * keep * (top > 0)
-                own = x[at]
                 dx = (dh[:, :, None] * self.kernel.T[None]).reshape(-1, self.embed)
-                ids = flat[(at * self.stride)[:, :, None] + np.arange(self.width)].reshape(-1)
+                ids = flat[(at * self.stride)[:, :, None] + np.arange(self.width)]
+                own = self.table[ids].reshape(*at.shape, -1)
+                ids = ids.reshape(-1)
                 rows, back = np.unique(ids, return_inverse=True)
                 dt = np.zeros((len(rows), self.embed), np.float32)
                 np.add.at(dt, back.reshape(-1), dx)

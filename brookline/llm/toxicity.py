@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut, ship, tidy
+from .common import bounded_sample, cut, release, ship, tidy
 from .common_words import COMMON_WORDS
 from .convnet import ConvNet
 from .langid import held_out
@@ -106,11 +106,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     words = rows.agg(F.sum(F.size("w"))).first()[0] or 0
     if words > most:
         rows = rows.filter(F.pmod(F.xxhash64(F.lit("words"), "_bl_id"), F.lit(1 << 40)) < F.lit(int(most / words * (1 << 40))))
-    rows = rows.orderBy(F.xxhash64("_bl_id"), "_bl_id", "w").limit(2 * sample).toPandas()
+    rows = rows.orderBy(F.xxhash64("_bl_id"), "_bl_id", "w").limit(2 * sample)
+    # Arrow keeps the sample at four bytes a word; Python lists take ten times that.
+    rows = rows.select("_bl_y", "w").toArrow().combine_chunks()
     y = rows["_bl_y"].to_numpy()
     if len(set(y)) < 2:
         return None
-    texts = [np.asarray(w, np.int64) for w in rows["w"]]
+    texts = [w.values.to_numpy() for w in rows["w"]]
     third = np.array([i % 3 == 2 for i in range(len(y))])
     if len(y) < 30:
         third[:] = False
@@ -135,6 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     more = np.concatenate([own, *[rare] * max(0, min(8, round((len(own) - len(rare)) / max(1, len(rare))) - 1))])
     epochs = max(5, min(30, VISITS // len(more)))
     net.fit([row_of[texts[i]] for i in more], y[more], epochs=epochs, batch=32, rate=RATE, hide=HIDE)
+    release()
     at = np.flatnonzero(third) if third.any() else own
     held = [texts[i] for i in at]
     odds, langs = scorer.odds(held), np.array([scorer.language(t) for t in held])
