@@ -106,13 +106,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     words = rows.agg(F.sum(F.size("w"))).first()[0] or 0
     if words > most:
         rows = rows.filter(F.pmod(F.xxhash64(F.lit("words"), "_bl_id"), F.lit(1 << 40)) < F.lit(int(most / words * (1 << 40))))
-    rows = rows.orderBy(F.xxhash64("_bl_id"), "_bl_id", "w").limit(2 * sample)
-    # Arrow keeps the sample at four bytes a word; Python lists take ten times that.
-    rows = rows.select("_bl_y", "w").toArrow().combine_chunks()
-    y = rows["_bl_y"].to_numpy()
-    if len(set(y)) < 2:
+    # As strings the sample has some eight bytes a word in Python; lists take five times that.
+    rows = rows.select("_bl_id", "_bl_y", F.array_join(F.col("w").cast("array<string>"), ",").alias("w"))
+    rows = rows.orderBy(F.xxhash64("_bl_id"), "_bl_id", "w").limit(2 * sample).select("_bl_y", "w").collect()
+    y = np.array([r["_bl_y"] for r in rows], np.int64)
+    if len(set(y.tolist())) < 2:
         return None
-    texts = [w.values.to_numpy() for w in rows["w"]]
+    texts = [np.fromstring(r["w"], np.int32, sep=",") if r["w"] else np.zeros(0, np.int32) for r in rows]
+    del rows
     third = np.array([i % 3 == 2 for i in range(len(y))])
     if len(y) < 30:
         third[:] = False
