@@ -184,7 +184,8 @@ def folded(pipeline, runtime: RuntimeConfig, supplier, accumulator, combine, fin
     if pipeline._indexed is not None and len(order) == 1:
         size, rows = pipeline._indexed, rows.withColumn("__at", F.col(order[0]))
     else:
-        size, rows = rows.count(), positions(rows, order, "__at")
+        size = rows.count()
+        rows = positions(rows, order, "__at", size)
     chunks = chunk_count(size, runtime)
     element = F.struct(*names) if len(names) > 1 else F.col(names[0])
     chunk = chunk_of(F.col("__at"), max(size, 1), max(chunks, 1))
