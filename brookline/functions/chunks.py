@@ -17,12 +17,20 @@ def chunk_count(size: int, config: RuntimeConfig) -> int:
     return min(size, config.worker_count * config.chunks_per_worker)
 
 
+def _quotient(whole, by: int, size: int, chunks: int) -> Column:
+    """``whole(cast)`` div ``by``; in longs if they hold size * chunks, else in 38-digit decimals."""
+    if size * chunks < 1 << 63:
+        return F.call_function("div", whole(lambda x: x.cast("long")), F.lit(by).cast("long"))
+    wide = lambda x: x.cast("decimal(20,0)")
+    top = whole(wide)
+    return ((top - top % wide(F.lit(by))) / wide(F.lit(by))).cast("long")
+
+
 def chunk_of(index: Column, size: int, chunks: int) -> Column:
-    """The chunk of a 0-based index: chunk c begins at floor(c * size / chunks).
+    """The chunk of a 0-based index: chunk c begins at floor(c * size / chunks).  Exact for any size."""
+    return _quotient(lambda cast: (cast(index) + 1) * cast(F.lit(chunks)) - 1, size, size, chunks)
 
-    Exact for any size: the products are 38-digit decimals, and so is the division.
-    """
-    wide = lambda x: x.cast("decimal(20,0)")
-    top = (wide(index) + 1) * F.lit(chunks).cast("decimal(11,0)") - 1
-    rest = top % wide(F.lit(size))
-    return ((top - rest) / wide(F.lit(size))).cast("long")
+
+def start_of(chunk: Column, size: int, chunks: int) -> Column:
+    """The index that a chunk begins at."""
+    return _quotient(lambda cast: cast(chunk) * cast(F.lit(size)), chunks, size, chunks)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CompileConfig, RuntimeConfig
-from ..functions.chunks import chunk_count, chunk_of
+from ..functions.chunks import chunk_count, chunk_of, start_of
 from ..functions.sums import adder, check_summable, typed_sum
 from ..plans.order import key, positions
 
@@ -209,9 +209,7 @@ def folded(pipeline, runtime: RuntimeConfig, supplier, accumulator, combine, fin
 def _rounds(rows: DataFrame, every: Column, fold, supplier, size: int, chunks: int, rounds: int, block: int) -> DataFrame:
     """``(__chunk, b)`` after ``rounds`` rounds of a block of each chunk; a buffer for each chunk passes through the driver."""
     spark = rows.sparkSession
-    wide = lambda x: x.cast("decimal(38,0)")
-    top = wide(F.col("__chunk")) * wide(F.lit(size))
-    start = ((top - top % wide(F.lit(chunks))) / wide(F.lit(chunks))).cast("long")
+    start = start_of(F.col("__chunk"), size, chunks)
     rows = rows.withColumn("__block", F.floor((F.col("__at") - start) / block)).persist(StorageLevel.DISK_ONLY)
     parts = None
     for k in range(rounds):
